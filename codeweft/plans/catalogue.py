@@ -1,0 +1,6 @@
+"""The queries over the reference's operators and their SQL."""
+
+from __future__ import annotations
+
+QUERIES: dict = {}
+ORACLES: dict = {}
