@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from codeweft.llm import chunks, tokenize
+from codeweft.llm import chunks, syntax, tokenize
 from codeweft.session import table
 
 QUERIES = {
+    "p2_found": lambda s, d: syntax.found(table(s, d, "source_files")),
+    "p2_errors": lambda s, d: syntax.syntax_errors(table(s, d, "source_files")),
+    "p2_rates": lambda s, d: syntax.rates(table(s, d, "source_files")),
     "p6_found": lambda s, d: chunks.found(table(s, d, "components")),
     "p6_pieces": lambda s, d: chunks.pieces(table(s, d, "components")),
     "p7_ids": lambda s, d: tokenize.token_ids(table(s, d, "documents")),
