@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from codeweft.llm import chunks, docpairs, syntax, tokenize
+from codeweft.llm import chunks, docpairs, spans, syntax, tokenize
 from codeweft.session import table
 
 QUERIES = {
@@ -14,10 +14,29 @@ QUERIES = {
     "p6_found": lambda s, d: chunks.found(table(s, d, "components")),
     "p6_pieces": lambda s, d: chunks.pieces(table(s, d, "components")),
     "p7_ids": lambda s, d: tokenize.token_ids(table(s, d, "documents")),
+    "p9_found": lambda s, d: spans.found(table(s, d, "documents")),
+    "p9_coverage": lambda s, d: spans.coverage(table(s, d, "documents")),
+    "p9_clusters": lambda s, d: spans.clusters(table(s, d, "documents")),
 }
 
 ORACLES = {
     "p6_found": """
         SELECT ord, 'snippet' AS field FROM components WHERE length(snippet) > 1600
         UNION ALL SELECT ord, 'text' AS field FROM components WHERE length(text) > 1600""",
+    "p9_found": """
+        WITH w AS (
+            SELECT doc_id, hash(substring(text, i::INT, 200)) AS h
+            FROM (SELECT doc_id, text, unnest(range(1, length(text) - 198)) AS i FROM documents WHERE length(text) >= 200)
+        ), shared AS (SELECT h FROM w GROUP BY h HAVING min(doc_id) < max(doc_id))
+        SELECT DISTINCT doc_id FROM w WHERE h IN (SELECT h FROM shared)""",
+    "p9_coverage": """
+        WITH w AS (
+            SELECT doc_id, i, hash(substring(text, i::INT, 200)) AS h
+            FROM (SELECT doc_id, text, unnest(range(1, length(text) - 198)) AS i FROM documents WHERE length(text) >= 200)
+        ), shared AS (SELECT h FROM w GROUP BY h HAVING min(doc_id) < max(doc_id)),
+        s AS (SELECT DISTINCT doc_id, i FROM w WHERE h IN (SELECT h FROM shared)),
+        g AS (SELECT doc_id, least(200, coalesce(lead(i) OVER (PARTITION BY doc_id ORDER BY i) - i, 200)) AS n FROM s)
+        SELECT g.doc_id, CAST(length(any_value(text)) AS BIGINT) AS n_chars, CAST(sum(n) AS BIGINT) AS shared_chars,
+               CAST(sum(n) AS DOUBLE) / length(any_value(text)) AS share
+        FROM g JOIN documents USING (doc_id) GROUP BY g.doc_id""",
 }
