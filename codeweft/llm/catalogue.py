@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from codeweft.llm import chunks, docpairs, spans, syntax, tokenize
+from codeweft.llm import chunks, docpairs, neighbours, spans, syntax, tokenize
 from codeweft.session import table
 
 QUERIES = {
     "p2_found": lambda s, d: syntax.found(table(s, d, "source_files")),
     "p2_errors": lambda s, d: syntax.syntax_errors(table(s, d, "source_files")),
     "p2_rates": lambda s, d: syntax.rates(table(s, d, "source_files")),
+    "p3_found": lambda s, d: neighbours.found(table(s, d, "component_vectors")),
+    "p3_neighbours": lambda s, d: neighbours.neighbours(table(s, d, "component_vectors")),
     "p5_found": lambda s, d: docpairs.found(table(s, d, "source_files")),
     "p5_pairs": lambda s, d: docpairs.pairs(table(s, d, "source_files")),
     "p6_found": lambda s, d: chunks.found(table(s, d, "components")),
