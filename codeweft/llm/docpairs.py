@@ -10,16 +10,20 @@ from __future__ import annotations
 
 import bisect
 import re
+import sys
+from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from codeweft.llm import syntax
-from codeweft.llm.lexers import LEXERS, LexError
+from codeweft.llm.grammars import grammar
+from codeweft.llm.lexers import LEXERS, LexError, Tokens
 from codeweft.session import spread
 
-TOKENS = "array<struct<k:string,v:string,line:int,end_line:int,a:int,b:int>>"
+TOKENS = "file_id bigint, copy bigint, language string, i int, k string, v string, line int, end_line int, a int, b int"
+BATCH_ROWS = 50_000
 #: Words that may stand before the word that names a function.
 MODIFIERS = {
     "javascript": frozenset("export default async static public private protected readonly override abstract declare get set".split()),
@@ -28,18 +32,15 @@ MODIFIERS = {
     "go": frozenset(),
 }
 MODIFIERS["typescript"] = MODIFIERS["javascript"]
-SINGLE = frozenset("( ) [ ] { } ; : = => < > ? ,".split())
+SINGLE = frozenset("( ) [ ] { } ; : = => < > ?".split())
+CALLS, BEFORE_NAME = frozenset("( < ? = =>".split()), frozenset("mod function const let var def func fn ) doc cmt dir attr".split())
 WORDS = frozenset("function const let var def func fn class".split())
 #: How comments begin that speak to tools.
 DIRECTIVE = re.compile(r"(?://|/\*+|#)\s*(?:eslint|prettier|biome|@ts-|tslint|istanbul|c8 |v8 |webpack|jshint|jscs|noinspection|clang-format|rustfmt|cspell|nosec|noqa|pylint|type:|#\s*sourceMapping)|//(?:go:|nolint|line |export |lint:|\+build)|//#")
 
 
-def condensed(text: str, language: str) -> list[tuple]:
+def condensed(text: str, language: str, t: Tokens) -> list[tuple]:
     """Rows of the structural tokens and comments; runs of other tokens become one row."""
-    try:
-        t = LEXERS[language](text)
-    except LexError:
-        return []
     starts = [0] + [m.end() for m in re.finditer(r"\r\n|\r|\n", text)]
     line = lambda at: bisect.bisect_right(starts, at)
     out: list[tuple] = []
@@ -99,7 +100,7 @@ def condensed(text: str, language: str) -> list[tuple]:
                 put("mod", w, a, b)
         elif k in SINGLE or k in WORDS:
             put(k, None, a, b)
-        elif k in ("NAME", "PRIV") or k in ("STR", "NUM") and after == "(" and language != "python":
+        elif k in ("NAME", "PRIV") and (after in CALLS or not out or out[-1][0] in BEFORE_NAME) or k in ("STR", "NUM") and after == "(" and language != "python":
             put("name", w, a, b)
         elif k == "STR" and language == "python" and (out and out[-1][0] in ("indent", "nl", ":", "str")):
             put("str", w if out[-1][0] != "str" else None, a, b)
@@ -111,11 +112,26 @@ def condensed(text: str, language: str) -> list[tuple]:
     return out
 
 
-def tokens(content: Column, language: Column) -> Column:
-    def lex(contents: pd.Series, languages: pd.Series) -> pd.Series:
-        return pd.Series([condensed(c, x) if c and x in LEXERS else [] for c, x in zip(contents, languages)], dtype=object)
-
-    return F.pandas_udf(lex, TOKENS)(content, language)
+def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Token rows of the files that parse, in small batches."""
+    sys.setrecursionlimit(syntax.DEPTH)
+    schema = pa.schema([("file_id", pa.int64()), ("copy", pa.int64()), ("language", pa.string()), ("i", pa.int32()), ("k", pa.string()), ("v", pa.string()), ("line", pa.int32()), ("end_line", pa.int32()), ("a", pa.int32()), ("b", pa.int32())])
+    rows: list[tuple] = []
+    batch = lambda: pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
+    for b in batches:
+        for file_id, copy, language, text in zip(*(b[c].to_pylist() for c in ("file_id", "copy", "language", "content"))):
+            try:
+                t = LEXERS[language](text)
+                if not grammar(language).parse(t.kinds, t.words, t.breaks)[0]:
+                    continue
+            except (LexError, RecursionError):
+                continue
+            rows += [(file_id, copy, language, i, *r) for i, r in enumerate(condensed(text, language, t))]
+            if len(rows) >= BATCH_ROWS:
+                yield batch()
+                rows = []
+    if rows:
+        yield batch()
 
 
 KEY = ("file_id", "copy")
@@ -123,12 +139,14 @@ NEAREST = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
 
 
 def token_rows(files: DataFrame) -> DataFrame:
-    """Token rows of the valid files with depth, siblings and islands. Equal rows count once."""
-    f = files.select("file_id", "language", "file", "content").filter(F.length("content") > 0)
-    f = spread(f.withColumn("language", syntax.language_of(F.col("language"), F.col("file"))).filter(F.col("language").isin(*LEXERS)), "file_id")
-    f = f.groupBy("file_id", "language", "content").agg(F.count("*").alias("n")).withColumn("copy", F.xxhash64("language", "content"))
-    f = f.withColumn("error", syntax.errors(F.col("content"), F.col("language"))).filter(F.col("error.position").isNull())
-    t = f.select(*KEY, "language", F.posexplode(tokens(F.col("content"), F.col("language"))).alias("i", "t")).select(*KEY, "language", "i", "t.*")
+    """Token rows of the valid files with depth, siblings and islands.
+
+    Equal rows of a file meet in one window; their tokens are made single by position before anything is counted.
+    """
+    f = files.select("file_id", syntax.language_of(F.col("language"), F.col("file")).alias("language"), "content").filter(F.length("content") > 0)
+    f = spread(f.filter(F.col("language").isin(*LEXERS))).withColumn("copy", F.xxhash64("language", "content"))
+    t = f.select("file_id", "copy", "language", "content").mapInArrow(_tokens, TOKENS)
+    t = t.withColumn("again", F.lag("i").over(Window.partitionBy(*KEY).orderBy("i")) == F.col("i")).filter("again IS NOT TRUE").drop("again")
     order = Window.partitionBy(*KEY).orderBy("i")
     opens, closes = F.col("k").isin("(", "[", "{").cast("int"), F.col("k").isin(")", "]", "}").cast("int")
     comment = lambda c: c.isin("doc", "cmt", "dir", "attr")
