@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from codeweft.llm import chunks, docpairs, neighbours, spans, syntax, tokenize
+from codeweft.llm import chunks, docpairs, leaks, neighbours, spans, syntax, tokenize
 from codeweft.session import table
 
 QUERIES = {
@@ -16,6 +16,8 @@ QUERIES = {
     "p6_found": lambda s, d: chunks.found(table(s, d, "components")),
     "p6_pieces": lambda s, d: chunks.pieces(table(s, d, "components")),
     "p7_ids": lambda s, d: tokenize.token_ids(table(s, d, "documents")),
+    "p8_found": lambda s, d: leaks.found(table(s, d, "documents"), table(s, d, "eval_items")),
+    "p8_leaks": lambda s, d: leaks.leaks(table(s, d, "documents"), table(s, d, "eval_items")),
     "p9_found": lambda s, d: spans.found(table(s, d, "documents")),
     "p9_coverage": lambda s, d: spans.coverage(table(s, d, "documents")),
     "p9_clusters": lambda s, d: spans.clusters(table(s, d, "documents")),
@@ -25,6 +27,12 @@ ORACLES = {
     "p6_found": """
         SELECT ord, 'snippet' AS field FROM components WHERE length(snippet) > 1600
         UNION ALL SELECT ord, 'text' AS field FROM components WHERE length(text) > 1600""",
+    "p8_found": """
+        WITH d AS (SELECT doc_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') AS w FROM documents),
+        e AS (SELECT item_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') AS w FROM eval_items),
+        dw AS (SELECT doc_id, array_to_string(w[i : i + 19], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 18)) AS i FROM d)),
+        ew AS (SELECT item_id, array_to_string(w[i : i + 19], ' ') AS g FROM (SELECT item_id, w, unnest(range(1, len(w) - 18)) AS i FROM e))
+        SELECT DISTINCT doc_id, item_id FROM dw JOIN ew USING (g)""",
     "p9_found": """
         WITH w AS (
             SELECT doc_id, hash(substring(text, i::INT, 200)) AS h
