@@ -22,10 +22,11 @@ def test_verdicts(spark, small):
     d = small.replace("sf0.001", "sf0.01")
     files, upstream = spark.read.parquet(f"{d}/source_files.parquet"), spark.read.parquet(f"{d}/upstream_files.parquet")
     own = files.filter("file LIKE '%.py'").limit(1).collect()[0]
+    mine = "import os\n\ndef size_of(path):\n    # follow links\n    return os.stat(path).st_size if os.path.exists(path) else None\n"
     known = upstream.filter("language = 'go'").limit(1).collect()[0]
     mini = "!function(p){var q=p.a_(1);for(var i=0;i<q.length;i++)q[i]^=3;p.z=[7,q,!0]}(r_);" * 40
     extra = [(10**6 + n, own.repo, f, lang, c, 1, None) for n, (f, lang, c) in enumerate([
-        ("src/vendor/x/a.py", "python", own.content), ("src/copy.go", None, known.content.replace("return", "return ", 1)), ("src/m.js", "javascript", mini), ("a.py", "python", "T = [" + "1, 2, " * 400 + "]\n"),
+        ("src/vendor/x/a.py", "python", mine), ("src/copy.go", None, known.content.replace("return", "return ", 1)), ("src/m.js", "javascript", mini), ("a.py", "python", "T = [" + "1, 2, " * 400 + "]\n"),
         ("vendors/b.py", "python", ""), ("c.md", "markdown", "Code generated by x. DO NOT EDIT."), (None, None, "x"), ("vendor/e.ts", "typescript", "")])]
     f = files.unionByName(spark.createDataFrame(extra, files.schema))
     got = {r.file_id: r.verdict for r in hw.judged(f, upstream).collect()}
