@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from codeweft.llm import chunks, docpairs, handwritten, leaks, neighbours, spans, syntax, tokenize
+from codeweft.llm import chunks, docpairs, handwritten, leaks, neighbours, persons, spans, syntax, tokenize
 from codeweft.session import table
 
 QUERIES = {
@@ -13,6 +13,8 @@ QUERIES = {
     "p2_rates": lambda s, d: syntax.rates(table(s, d, "source_files")),
     "p3_found": lambda s, d: neighbours.found(table(s, d, "component_vectors")),
     "p3_neighbours": lambda s, d: neighbours.neighbours(table(s, d, "component_vectors")),
+    "p4_found": lambda s, d: persons.found(table(s, d, "git_persons"), table(s, d, "nicknames")),
+    "p4_entities": lambda s, d: persons.entities(table(s, d, "git_persons"), table(s, d, "nicknames")),
     "p5_found": lambda s, d: docpairs.found(table(s, d, "source_files")),
     "p5_pairs": lambda s, d: docpairs.pairs(table(s, d, "source_files")),
     "p6_found": lambda s, d: chunks.found(table(s, d, "components")),
