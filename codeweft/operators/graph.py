@@ -33,3 +33,79 @@ def connected_components(edges: DataFrame, nodes: DataFrame | None = None) -> Da
     if nodes is not None:
         out = nodes.select("node").filter("node IS NOT NULL").distinct().join(out, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
     return out
+
+
+def call_edges(c: DataFrame) -> DataFrame:
+    """Calls between components whose file is known: src and dst paths, once per call (JN-01)."""
+    return c.select(F.col("path").alias("src"), "repo", F.explode("callees").alias("callee")).filter("callee.file IS NOT NULL").select("src", F.concat_ws("/", "repo", "callee.file").alias("dst"))
+
+
+def dependency_edges(c: DataFrame) -> DataFrame:
+    """Weighted edges between files, the root of the number of calls; no loops (AGG-09)."""
+    return call_edges(c).filter("src <> dst").groupBy("src", "dst").agg(F.sqrt(F.count("*").cast("double")).alias("weight"))
+
+
+def graph_nodes(edges: DataFrame, sources: DataFrame | None = None) -> DataFrame:
+    """Sources and targets, each once (SET-02); sources without edges may be added."""
+    n = edges.select(F.col("src").alias("node")).union(edges.select("dst"))
+    return (n.union(sources.select("node")) if sources is not None else n).distinct()
+
+
+def incoming(edges: DataFrame) -> DataFrame:
+    """Distinct sources per target (AGG-10)."""
+    return edges.groupBy("dst").agg(F.countDistinct("src").alias("incoming"))
+
+
+def pagerank(edges: DataFrame, nodes: DataFrame, damping: float = 0.85, rounds: int = 100, tolerance: float = 1e-6, every: int = 5) -> DataFrame:
+    """node and rank: weighted PageRank, dangling mass spread evenly (GRF-01).
+
+    Edges are cut once and partitioned by source, a round is one join and a partial sum by target. The sum of
+    changes is looked at, and the lineage cut, every few rounds; tolerance 0 runs all rounds.
+    """
+    out = edges.groupBy("src").agg(F.sum("weight").alias("total"))
+    share = cut(edges.join(out, "src").select("src", "dst", (F.col("weight") / F.col("total")).alias("share")))
+    nodes = nodes.select("node").distinct()
+    n = nodes.count()
+    if not n:
+        return nodes.select("node", F.lit(0.0).alias("rank"))
+    dangling = nodes.join(share.select(F.col("src").alias("node")).distinct().withColumn("linked", F.lit(True)), "node", "left").select("node", F.col("linked").isNull().alias("dangling"))
+    ranks = cut(dangling.withColumn("rank", F.lit(1.0 / n)))
+    for k in range(1, rounds + 1):
+        sent = ranks.join(share, ranks.node == share.src).groupBy("dst").agg(F.sum(F.col("rank") * F.col("share")).alias("got"))
+        lost = ranks.agg(F.coalesce(F.sum(F.when(F.col("dangling"), F.col("rank"))), F.lit(0.0)).alias("lost"))
+        new = ranks.withColumnRenamed("rank", "was").join(sent, F.col("node") == F.col("dst"), "left").crossJoin(F.broadcast(lost))  # lost is one row
+        new = new.select("node", "dangling", "was", ((1 - damping) / n + damping * (F.coalesce("got", F.lit(0.0)) + F.col("lost") / n)).alias("rank"))
+        if k % every == 0 or k == rounds:
+            new = cut(new)
+            if tolerance and new.agg(F.sum(F.abs(F.col("rank") - F.col("was")))).first()[0] < tolerance:
+                ranks = new.select("node", "dangling", "rank")
+                break
+        ranks = new.select("node", "dangling", "rank")
+    return ranks.select("node", "rank")
+
+
+def hops_from(edges: DataFrame, start: DataFrame, limit: int = 50) -> DataFrame:
+    """node, hops and parent: breadth-first distances from start nodes along the edges (GRF-03).
+
+    Each round joins the frontier with the edges and drops what was seen; the least parent is kept. A start that
+    no edge knows reaches itself only.
+    """
+    e = cut(edges.select("src", "dst").distinct())
+    seen = cut(start.select("node").distinct().select("node", F.lit(0).cast("bigint").alias("hops"), F.lit(None).cast("string").alias("parent")))
+    frontier = seen
+    for k in range(1, limit + 1):
+        step = frontier.select(F.col("node").alias("src")).join(e, "src").groupBy(F.col("dst").alias("node")).agg(F.min("src").alias("parent"))
+        frontier = cut(step.join(seen, "node", "left_anti").select("node", F.lit(k).cast("bigint").alias("hops"), "parent"))
+        if frontier.isEmpty():
+            break
+        seen = cut(seen.unionByName(frontier))
+    return seen
+
+
+def updated_edges(edges: DataFrame, changed: DataFrame, deleted: DataFrame) -> DataFrame:
+    """The edge table after the sources of changed files are replaced and those of deleted files dropped (GRF-04).
+
+    changed: edges of the changed files; deleted: path. Edges into deleted files stay until the next full build.
+    """
+    gone = changed.select(F.col("src").alias("path")).unionByName(deleted.select("path")).distinct()
+    return edges.join(gone, edges.src == gone.path, "left_anti").unionByName(changed.select(*edges.columns))
