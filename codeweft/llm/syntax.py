@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from codeweft.llm.grammars import grammar
-from codeweft.llm.lexers import LEXERS, LexError
+from codeweft.sources.lexers import LEXERS, LexError
 from codeweft.session import spread
 
 #: File extensions of the languages.
