@@ -7,13 +7,14 @@ from pyspark.sql import functions as F
 
 from codeweft.functions import text as T
 
-LINES = F.expr("coalesce(greatest(end_line - start_line + 1, 0), 0)")
+#: Lines of a component, 0 where they are unknown.
+LINES = "sum(coalesce(greatest(end_line - start_line + 1, 0), 0))"
 
 
 def by_language(c: DataFrame) -> DataFrame:
     """Files, components and lines per language; a file counts once, under the language of its first row (AGG-01)."""
     first = F.row_number().over(Window.partitionBy("path").orderBy("ord")) == 1
-    return c.withColumn("first", first).groupBy("language").agg(F.count_if("first").alias("files"), F.count("*").alias("components"), F.sum(LINES).cast("bigint").alias("lines"))
+    return c.withColumn("first", first).groupBy("language").agg(F.count_if("first").alias("files"), F.count("*").alias("components"), F.expr(LINES).cast("bigint").alias("lines"))
 
 
 def by_type(c: DataFrame) -> DataFrame:
@@ -46,7 +47,7 @@ def cardinalities(c: DataFrame) -> DataFrame:
 
 def with_totals(c: DataFrame) -> DataFrame:
     """Components per language and type with subtotals and shares (AGG-23, AGG-25)."""
-    r = c.rollup("language", "type").agg(F.count("*").alias("components"), F.sum(LINES).cast("bigint").alias("lines"))
+    r = c.rollup("language", "type").agg(F.count("*").alias("components"), F.expr(LINES).cast("bigint").alias("lines"))
     total = F.max("components").over(Window.partitionBy())  # the rolled-up table: languages times types
     return r.withColumn("share", F.round(F.col("components") * 100.0 / total, 1)).select(F.coalesce("language", F.lit("(all)")).alias("language"), F.coalesce("type", F.lit("(all)")).alias("type"), "components", "lines", "share")
 

@@ -26,7 +26,9 @@ SCHEMA = "file_id bigint, type string, name string, start_line int, end_line int
 def read_repository(spark: SparkSession, root: str) -> DataFrame:
     """path, size_bytes and content of the files below a folder; excluded paths are dropped before contents are decoded (SRC-01, AGG-29)."""
     f = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
-    return f.filter(~F.col("path").rlike(EXCLUDED)).select(F.col("path").alias("file"), F.col("length").alias("size_bytes"), F.col("content").cast("string").alias("content"))
+    base = root.split("://", 1)[-1].rstrip("/")
+    below = F.expr(f"substring(path, instr(path, '{base}') + {len(base)})")
+    return f.filter(~below.rlike(EXCLUDED)).select(F.substring(below, 2, 1_000_000).alias("file"), F.col("length").alias("size_bytes"), F.col("content").cast("string").alias("content"))
 
 
 def eligible(files: DataFrame) -> DataFrame:
@@ -130,6 +132,12 @@ def lexed_components(text: str, language: str) -> list[tuple]:
 
     def walk(i: int, end: int, owner: str | None, top: bool) -> None:
         while i < end:
+            if script and k[i] == "@" or language == "rust" and k[i] == "#":  # decorators and attributes
+                i += 2 if script else 1 + (k[i + 1] == "!")
+                while script and k[i] == ".":
+                    i += 2
+                i = close.get(i, i) + 1 if k[i] in ("(", "[") else i
+                continue
             first, exported = i, False
             while i < end and (k[i] in ("export", "default", "pub", "async", "unsafe", "extern") or w[i] in ("async", "abstract", "declare", "static", "public", "private", "protected", "readonly", "override")) and k[i + 1] not in ("(", "=", ":", ";"):
                 exported |= w[i] in ("export", "pub", "public")
