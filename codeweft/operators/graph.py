@@ -56,31 +56,33 @@ def incoming(edges: DataFrame) -> DataFrame:
     return edges.groupBy("dst").agg(F.countDistinct("src").alias("incoming"))
 
 
-def pagerank(edges: DataFrame, nodes: DataFrame, damping: float = 0.85, rounds: int = 100, tolerance: float = 1e-6, every: int = 5) -> DataFrame:
+def pagerank(edges: DataFrame, nodes: DataFrame, damping: float = 0.85, rounds: int = 100, tolerance: float = 1e-6) -> DataFrame:
     """node and rank: weighted PageRank, dangling mass spread evenly (GRF-01).
 
-    Edges are cut once and partitioned by source, a round is one join and a partial sum by target. The sum of
-    changes is looked at, and the lineage cut, every few rounds; tolerance 0 runs all rounds.
+    A round is one join of ranks and edge shares and one partial sum by target, checkpointed; two sums over its result,
+    the dangling mass and the change, are all that the driver sees. Tolerance 0 runs all rounds. A node's base row is
+    part of the sum, so no second join is needed. An empty graph has no rows.
     """
     out = edges.groupBy("src").agg(F.sum("weight").alias("total"))
-    share = cut(edges.join(out, "src").select("src", "dst", (F.col("weight") / F.col("total")).alias("share")))
     nodes = nodes.select("node").distinct()
+    share = edges.join(out, "src").select(F.col("src").alias("node"), "dst", (F.col("weight") / F.col("total")).alias("share"))
+    linked = share.select("node").distinct().withColumn("linked", F.lit(True))
+    nodes = cut(nodes.join(linked, "node", "left").select("node", F.col("linked").isNull().alias("dangling")))
     n = nodes.count()
     if not n:
         return nodes.select("node", F.lit(0.0).alias("rank"))
-    dangling = nodes.join(share.select(F.col("src").alias("node")).distinct().withColumn("linked", F.lit(True)), "node", "left").select("node", F.col("linked").isNull().alias("dangling"))
-    ranks = cut(dangling.withColumn("rank", F.lit(1.0 / n)))
-    for k in range(1, rounds + 1):
-        sent = ranks.join(share, ranks.node == share.src).groupBy("dst").agg(F.sum(F.col("rank") * F.col("share")).alias("got"))
-        lost = ranks.agg(F.coalesce(F.sum(F.when(F.col("dangling"), F.col("rank"))), F.lit(0.0)).alias("lost"))
-        new = ranks.withColumnRenamed("rank", "was").join(sent, F.col("node") == F.col("dst"), "left").crossJoin(F.broadcast(lost))  # lost is one row
-        new = new.select("node", "dangling", "was", ((1 - damping) / n + damping * (F.coalesce("got", F.lit(0.0)) + F.col("lost") / n)).alias("rank"))
-        if k % every == 0 or k == rounds:
-            new = cut(new)
-            if tolerance and new.agg(F.sum(F.abs(F.col("rank") - F.col("was")))).first()[0] < tolerance:
-                ranks = new.select("node", "dangling", "rank")
-                break
-        ranks = new.select("node", "dangling", "rank")
+    # every node sends its flag and nothing to itself, so that it stays in the sum
+    share = cut(share.select("node", "dst", "share", F.lit(None).cast("boolean").alias("dangling")).unionByName(nodes.select("node", F.col("node").alias("dst"), F.lit(0.0).alias("share"), "dangling")))
+    ranks = nodes.select("node", F.lit(1.0 / n).alias("rank"), "dangling")
+    lost = nodes.filter("dangling").count() / n
+    for _ in range(rounds):
+        sent = ranks.select("node", "rank").join(share, "node")
+        kept = F.max(F.when(F.col("dangling").isNotNull(), F.col("rank")))
+        new = sent.groupBy(F.col("dst").alias("node")).agg(F.sum(F.col("rank") * F.col("share")).alias("got"), kept.alias("was"), F.max("dangling").alias("dangling"))
+        ranks = cut(new.select("node", ((1 - damping) / n + damping * (F.col("got") + lost / n)).alias("rank"), "dangling", "was"))
+        lost, change = ranks.agg(F.coalesce(F.sum(F.when(F.col("dangling"), F.col("rank"))), F.lit(0.0)), F.sum(F.abs(F.col("rank") - F.col("was")))).first()
+        if tolerance and change < tolerance:
+            break
     return ranks.select("node", "rank")
 
 

@@ -417,7 +417,7 @@ PR = CO + f""", n AS (SELECT count(*) AS n FROM nodes), w AS (SELECT src, sum(we
 def pagerank(s, d):
     """GRF-01 with a fixed number of rounds."""
     e = cut(change_edges(s, d))
-    return graph.pagerank(e, graph.graph_nodes(e), rounds=PR_ROUNDS, tolerance=0, every=6).select("node", F.round("rank", 7).alias("rank"))
+    return graph.pagerank(e, graph.graph_nodes(e), rounds=PR_ROUNDS, tolerance=0).select("node", F.round("rank", 7).alias("rank"))
 
 
 @query("WITH " + PR + ", " + C + """, i AS (SELECT dst, count(DISTINCT src) AS incoming FROM edges GROUP BY dst), f AS (SELECT path, arg_min(name, ord) AS name FROM c WHERE name IS NOT NULL GROUP BY path),
@@ -425,7 +425,7 @@ def pagerank(s, d):
 def hot_paths(s, d):
     """JN-05, SRT-01, WIN-01: best ranked files with their references and first component."""
     e = cut(change_edges(s, d))
-    ranks = graph.pagerank(e, graph.graph_nodes(e), rounds=PR_ROUNDS, tolerance=0, every=6)
+    ranks = graph.pagerank(e, graph.graph_nodes(e), rounds=PR_ROUNDS, tolerance=0)
     best = search.top(ranks.withColumnRenamed("rank", "score"), "node", 20, digits=7)
     first = components(s, d).filter("name IS NOT NULL").groupBy("path").agg(F.min_by("name", "ord").alias("component"))
     return best.join(graph.incoming(e), F.col("node") == F.col("dst"), "left").join(first, F.col("node") == F.col("path"), "left").select(F.col("node").alias("file"), "score", F.coalesce("incoming", F.lit(0)).alias("incoming"), "component")
