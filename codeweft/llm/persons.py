@@ -12,6 +12,7 @@ from __future__ import annotations
 import math
 import re
 import unicodedata
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -186,22 +187,20 @@ def star_clusters(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """node and center. nodes: node, weight; edges: a, b in both directions.
 
     A node is a center when no undecided neighbour goes before it (by weight, then name); its undecided neighbours are
-    satellites of the first center they touch. Rounds go on until all are decided.
+    satellites of the first center they touch. Only edges between undecided nodes are carried to the next round.
     """
-    state = cut(nodes.select("node", "weight", F.lit(None).cast("string").alias("center")))
-    edges = cut(edges.select("a", "b"))
-    rank = lambda w, n: F.struct(w.alias("w"), n.alias("n"))
+    rank = lambda n, r: nodes.select(F.col("node").alias(n), F.struct("weight", "node").alias(r))
+    live, done = cut(edges.select("a", "b").join(rank("a", "ra"), "a").join(rank("b", "rb"), "b")), []
     for _ in range(40):
-        open_ = state.filter("center IS NULL").select("node", "weight")
-        live = edges.join(open_.select(F.col("node").alias("a"), F.col("weight").alias("wa")), "a").join(open_.select(F.col("node").alias("b"), F.col("weight").alias("wb")), "b")
-        best = live.groupBy(F.col("a").alias("node")).agg(F.max(rank(F.col("wb"), F.col("b"))).alias("best"))
-        centers = open_.join(best, "node", "left").filter(F.col("best").isNull() | (rank(F.col("weight"), F.col("node")) > F.col("best"))).select("node", "weight")
-        near = edges.join(centers.select(F.col("node").alias("b"), F.col("weight").alias("wb")), "b").groupBy(F.col("a").alias("node")).agg(F.max(rank(F.col("wb"), F.col("b"))).alias("near"))
-        chosen = centers.select("node", F.col("node").alias("own"))
-        state = cut(state.join(chosen, "node", "left").join(near, "node", "left").select("node", "weight", F.coalesce("center", "own", "near.n").alias("center")))
-        if state.filter("center IS NULL").isEmpty():
+        top = live.groupBy("a", "ra").agg(F.max("rb").alias("m")).filter("ra > m").select("a")
+        near = live.join(top.withColumnRenamed("a", "b"), "b").groupBy("a").agg(F.max("rb").alias("m")).select("a", F.col("m.node").alias("center"))
+        decided = cut(top.select("a", F.col("a").alias("center")).unionByName(near))
+        done.append(decided)
+        gone = decided.select("a")
+        live = cut(live.join(gone, "a", "left_anti").join(gone.withColumnRenamed("a", "b"), "b", "left_anti"))
+        if live.isEmpty():
             break
-    return state.select("node", F.coalesce("center", "node").alias("center"))
+    return nodes.select("node").join(reduce(DataFrame.unionByName, done), F.col("node") == F.col("a"), "left").select("node", F.coalesce("center", "node").alias("center"))
 
 
 def short_forms(nicknames: DataFrame) -> DataFrame:
@@ -342,13 +341,12 @@ def entities(persons: DataFrame, nicknames: DataFrame) -> DataFrame:
     part = part.withColumn("single_nick", F.coalesce("single", F.when(F.size("tokens") == 1, F.element_at("tokens", 1)))).join(nick, "single_nick", "left")
     part = cut(part)
     names = center.select("entity", "given", "family")
-    by_addr = part.filter("addr IS NOT NULL").join(whole_entity.filter("addr IS NOT NULL AND kind = 'person'").select("addr", "entity").distinct(), "addr").join(names, "entity").withColumn("score", F.lit(3))
-    by_handle = part.filter("handle IS NOT NULL").join(whole_entity.filter("handle IS NOT NULL AND kind = 'person'").select("handle", "entity").distinct(), "handle").join(names, "entity").withColumn("score", F.lit(2))
-    by_local = part.filter("local IS NOT NULL").join(alias.withColumnRenamed("alias", "local"), "local").withColumn("score", F.lit(1))
-    typed = part.withColumn("word", F.coalesce(F.when(F.size("tokens") == 1, F.concat(F.element_at("tokens", 1), F.substring("initials", 1, 1))), F.regexp_replace("single", "[^a-z]", "")))
-    by_name = typed.filter("word IS NOT NULL").join(alias.withColumnRenamed("alias", "word"), "word").drop("word").withColumn("score", F.lit(1))
-    columns = ["person_id", "entity", "score", "given", "family", "single", "initials", "tokens", "local", "nick_given"]
-    option = by_addr.select(columns).unionByName(by_handle.select(columns)).unionByName(by_local.select(columns)).unionByName(by_name.select(columns))
+    word = F.coalesce(F.when(F.size("tokens") == 1, F.concat(F.element_at("tokens", 1), F.substring("initials", 1, 1))), F.regexp_replace("single", "[^a-z]", ""))
+    way = lambda kind, score, key: F.struct(F.lit(kind).alias("way"), F.lit(score).alias("score"), key.alias("key"))
+    asked = part.withColumn("w", F.explode(F.array(way("addr", 3, F.col("addr")), way("handle", 2, F.col("handle")), way("alias", 1, F.col("local")), way("alias", 1, word)))).select("*", "w.*").filter("key IS NOT NULL")
+    mine = whole_entity.filter("kind = 'person'").select("entity", F.explode(F.array(way("addr", 3, F.col("addr")), way("handle", 2, F.col("handle")))).alias("w")).select("entity", "w.way", "w.key").filter("key IS NOT NULL")
+    known = mine.unionByName(alias.select("entity", F.lit("alias").alias("way"), F.col("alias").alias("key"))).distinct().join(names, "entity")
+    option = asked.join(known, ["way", "key"])
     option = option.filter(fits(g, f)).groupBy("person_id", "entity").agg(F.max("score").alias("score"), F.count("*").alias("ways"))
     w = Window.partitionBy("person_id").orderBy(F.desc("score"))
     best = option.withColumn("r", F.rank().over(w)).filter("r = 1").groupBy("person_id").agg(F.min("entity").alias("entity"), F.count("*").alias("n")).filter("n = 1").select("person_id", "entity")
