@@ -195,3 +195,29 @@ def human_bytes(c: Column) -> Column:
     """FN-36: powers of 1024 with one decimal."""
     size = lambda power, unit: F.concat(F.format_number(c / 1024**power, 1), F.lit(f" {unit}"))
     return F.when(c < 1024, F.concat(c.cast("bigint").cast("string"), F.lit(" B"))).when(c < 1024**2, size(1, "KB")).when(c < 1024**3, size(2, "MB")).otherwise(size(3, "GB"))
+
+
+def source_path(c: Column) -> Column:
+    """Path of the source a built file stands for (SRC-10): dist to src, declaration and script files to their source."""
+    p = F.regexp_replace(c, "(^|/)dist/", "$1src/")
+    return F.regexp_replace(F.regexp_replace(p, r"\.d\.ts$", ".ts"), r"\.js$", ".ts")
+
+
+def go_exported(name: Column) -> Column:
+    """Whether the first letter is a capital (SRC-13)."""
+    first = F.substring(name, 1, 1)
+    return (F.upper(first) == first) & (F.lower(first) != first)
+
+
+def go_type_parameters(signature: Column) -> Column:
+    """Names and bounds in the first brackets of a signature, an empty list without any (SRC-14)."""
+    inside = F.regexp_extract(signature, r"\[([^\]]*)\]", 1)
+    return F.when(inside == "", F.array().cast("array<string>")).otherwise(F.transform(F.split(inside, ","), lambda x: F.trim(x)))
+
+
+def is_generated(path: Column, content: Column) -> Column:
+    """Files that scanners of Go and Python leave out as generated or as migrations (SRC-12, SRC-22)."""
+    head = F.array_join(F.slice(F.split(content, "\n"), 1, 3), "\n")
+    go = F.substring_index(content, "\n", 1).rlike("(?i)code generated|do not edit")
+    py = path.rlike(r"_pb2(?:_grpc)?\.py$|\.gen\.py$|/migrations/|/versions/") | head.rlike("(?i)@generated|generated by|do not edit")
+    return F.when(extension(path) == "go", go).when(extension(path) == "py", py).otherwise(False)

@@ -98,3 +98,15 @@ def rule_counts(files: DataFrame) -> DataFrame:
     for language, named in RULES.items():
         rules = rules.when(ext == language, F.create_map(*[x for k, p in named.items() for x in (F.lit(k), F.regexp_count(F.col("content"), F.lit(p)))]))
     return files.filter(ext.isin("python", *RULES)).select("repo", "file", F.when(F.col("content").rlike(r"\S"), rules).otherwise(F.create_map().cast("map<string,int>")).alias("matches"))
+
+
+def compared(facts_: DataFrame, peers: DataFrame) -> DataFrame:
+    """A file's size and styles beside those of its peers (SCH-09, AGG-13). peers: repo, file, peer; equal files may repeat."""
+    one = facts_.select("repo", "file", "lines", "import_style", "error_style")
+    other = facts_.select("repo", F.col("file").alias("peer"), F.col("lines").alias("peer_lines"), F.col("import_style").alias("peer_import"), F.col("error_style").alias("peer_error"))
+    g = one.join(peers, ["repo", "file"]).join(other, ["repo", "peer"]).groupBy("repo", "file", "lines").agg(
+        F.count("*").alias("peers"), F.floor(F.avg("peer_lines") + 0.5).cast("bigint").alias("mean"),
+        F.count_if(F.col("import_style") == F.col("peer_import")).alias("same_imports"), F.count_if(F.col("error_style") == F.col("peer_error")).alias("same_errors"),
+    )
+    share = F.try_divide(F.col("lines") - F.col("mean"), F.col("mean"))
+    return g.withColumn("size", F.when(share > 0.2, "larger").when(share < -0.2, "smaller").otherwise("similar"))

@@ -148,3 +148,34 @@ def paired_requests(events: DataFrame) -> DataFrame:
     """Started and ended requests paired by id, unknown ids left out (STM-08). events: id, phase, ts."""
     e = events.groupBy("id").agg(F.min(F.when(F.col("phase") == "started", F.col("ts"))).alias("started"), F.max(F.when(F.col("phase") != "started", F.col("ts"))).alias("ended"))
     return e.filter("started IS NOT NULL AND ended IS NOT NULL")
+
+
+def folder_sizes(files: DataFrame) -> DataFrame:
+    """Bytes and files below every folder (AGG-29). files: path, size_bytes; unknown sizes count as 0."""
+    up = files.select(F.coalesce("size_bytes", F.lit(0)).alias("size"), F.explode(ancestors(F.col("path"))).alias("path"))
+    return up.groupBy("path").agg(F.sum("size").cast("bigint").alias("bytes"), F.count("*").alias("files"))
+
+
+def errors_by_phase(scanned: DataFrame) -> DataFrame:
+    """Error rows of a scan by their kind (AGG-26)."""
+    return scanned.filter("type = 'error'").groupBy(F.substring_index("error", ":", 1).alias("phase")).agg(F.count("*").alias("errors"))
+
+
+def term_insights(docs: DataFrame, terms: list[str], limit: int = 10) -> DataFrame:
+    """Documents that hold each term and the first sources of them (AGG-20): one scan for all terms."""
+    hit = docs.select("doc_id", "source", F.explode(F.filter(F.array(*[F.lit(t) for t in terms]), lambda t: F.contains(F.lower("text"), t))).alias("term"))
+    first = hit.groupBy("term", "source").agg(F.min("doc_id").alias("first"), F.count("*").alias("n"))
+    w = Window.partitionBy("term")
+    first = first.withColumn("rank", F.row_number().over(w.orderBy("first"))).withColumn("hits", F.sum("n").over(w))
+    return first.filter(F.col("rank") <= limit).select("term", F.col("hits").cast("bigint").alias("hits"), F.col("rank").cast("bigint").alias("rank"), "source")
+
+
+def store_stats(components: DataFrame, vectors: DataFrame) -> DataFrame:
+    """Rows, vectors, dimension and models of the store (AGG-24)."""
+    v = vectors.agg(F.count("vector").alias("vectors"), F.max(F.size("vector")).cast("bigint").alias("dimension"), F.countDistinct("model").alias("models"))
+    return components.agg(F.count("*").alias("documents")).crossJoin(v)  # one row each
+
+
+def by_path(c: DataFrame) -> DataFrame:
+    """Rows of each file in order, as a count and the first and last names (JN-09)."""
+    return c.groupBy("path").agg(F.count("*").alias("rows"), F.min_by("name", "ord").alias("first"), F.max_by("name", "ord").alias("last"))

@@ -704,3 +704,57 @@ def chunked(s, d):
     w = Window.partitionBy("user_id").orderBy("ts", "event_id")
     r = table(s, d, "events").select("user_id", "event_id", F.floor((F.row_number().over(w) - 1) / 10).cast("bigint").alias("chunk"))
     return r.groupBy("user_id", "chunk").agg(F.count("*").alias("rows"), F.min("event_id").alias("low"))
+
+
+# ---------------------------------------------------------------- sizes, insights, peers
+
+
+@query(f"WITH f AS (SELECT repo || '/' || file AS path, arg_max(size_bytes, file_id) AS s FROM source_files GROUP BY repo, file), u AS (SELECT unnest({PREFIXES.format('path')}) AS path, coalesce(s, 0) AS s FROM f) SELECT path, CAST(sum(s) AS BIGINT) AS bytes, count(*) AS files FROM u GROUP BY path")
+def folder_sizes(s, d):
+    """AGG-29."""
+    f = table(s, d, "source_files").groupBy("repo", "file").agg(F.max_by("size_bytes", "file_id").alias("size_bytes"))
+    return stats.folder_sizes(f.select(F.concat_ws("/", "repo", "file").alias("path"), "size_bytes"))
+
+
+@query(None)
+def scan_errors(s, d):
+    """AGG-26."""
+    return stats.errors_by_phase(scanner.scan(table(s, d, "source_files")))
+
+
+INSIGHTS = ["async", "cache", "error", "merge", "retry", "stream", "test", "timeout"]
+
+
+@query(f"""WITH t AS (SELECT unnest({INSIGHTS}) AS term), h AS (SELECT term, source, min(doc_id) AS first, count(*) AS n FROM documents JOIN t ON contains(lower(text), term) GROUP BY ALL),
+    r AS (SELECT term, source, sum(n) OVER (PARTITION BY term) AS hits, row_number() OVER (PARTITION BY term ORDER BY first) AS rank FROM h) SELECT term, CAST(hits AS BIGINT) AS hits, CAST(rank AS BIGINT) AS rank, source FROM r WHERE rank <= 10""")
+def term_insights(s, d):
+    """AGG-20, SET-04, SRT-06."""
+    return stats.term_insights(table(s, d, "documents"), INSIGHTS)
+
+
+@query("SELECT (SELECT count(*) FROM components) AS documents, count(vector) AS vectors, CAST(max(len(vector)) AS BIGINT) AS dimension, count(DISTINCT model) AS models FROM component_vectors")
+def store_stats(s, d):
+    """AGG-24."""
+    return stats.store_stats(table(s, d, "components"), table(s, d, "component_vectors"))
+
+
+@query("WITH " + C + " SELECT path, count(*) AS rows, arg_min(name, ord) AS first, arg_max(name, ord) AS last FROM c GROUP BY path")
+def rows_by_path(s, d):
+    """JN-09."""
+    return stats.by_path(components(s, d))
+
+
+PEERS = """p AS (SELECT repo, file, lead(file) OVER w AS a, lead(file, 2) OVER w AS b, lag(file) OVER w AS c FROM f WINDOW w AS (PARTITION BY repo, lower(regexp_extract(file, '\\.([A-Za-z0-9]+)$', 1)) ORDER BY file)),
+    q AS (SELECT repo, file, unnest([a, b, c]) AS peer FROM p)"""
+
+
+@query(ORACLES["file_patterns"].replace("SELECT repo, file, CAST(length(t)", ", facts AS (SELECT repo, file, CAST(length(t)", 1).replace("FROM k LEFT JOIN g USING (repo, file)", "FROM k LEFT JOIN g USING (repo, file)), " + PEERS + """
+    SELECT o.repo, o.file, o.lines, count(*) AS peers, CAST(floor(avg(x.lines) + 0.5) AS BIGINT) AS mean, count(*) FILTER (o.import_style = x.import_style) AS same_imports, count(*) FILTER (o.error_style = x.error_style) AS same_errors,
+        CASE WHEN (o.lines - floor(avg(x.lines) + 0.5)) / nullif(floor(avg(x.lines) + 0.5), 0) > 0.2 THEN 'larger' WHEN (o.lines - floor(avg(x.lines) + 0.5)) / nullif(floor(avg(x.lines) + 0.5), 0) < -0.2 THEN 'smaller' ELSE 'similar' END AS size
+    FROM facts o JOIN q ON q.repo = o.repo AND q.file = o.file JOIN facts x ON x.repo = q.repo AND x.file = q.peer GROUP BY o.repo, o.file, o.lines""", 1).replace("FROM f)\n    , facts", "FROM f), facts"))
+def pattern_comparison(s, d):
+    """SCH-09, AGG-13: every file beside its neighbours of the same kind."""
+    f = cut(patterns.facts(table(s, d, "source_files"), components(s, d)))
+    w = Window.partitionBy("repo", T.extension(F.col("file"))).orderBy("file")
+    p = f.select("repo", "file", F.array(F.lead("file").over(w), F.lead("file", 2).over(w), F.lag("file").over(w)).alias("peers"))
+    return patterns.compared(f, p.select("repo", "file", F.explode("peers").alias("peer")).filter("peer IS NOT NULL"))

@@ -224,9 +224,10 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def scan(files: DataFrame) -> DataFrame:
-    """Components of every eligible code file (SRC-01, SRC-05); a file that cannot be read gives one row of type error.
+    """Components of every eligible code file (SRC-01, SRC-05); a file that cannot be read gives one row of type error,
+    Go and Python files that say they are generated give none.
 
     Null and blank contents give no rows; a file that occurs twice is scanned twice. One narrow stage.
     """
-    f = eligible(files.select("file_id", "file", "language", "content")).withColumn("language", T.language_of(F.col("language"), F.col("file"))).filter(F.col("language").isin(*LEXERS))
+    f = eligible(files.select("file_id", "file", "language", "content")).withColumn("language", T.language_of(F.col("language"), F.col("file"))).filter(F.col("language").isin(*LEXERS) & ~T.is_generated(F.col("file"), F.col("content")))
     return spread(f.select("file_id", "language", "content")).mapInArrow(_scan, SCHEMA)

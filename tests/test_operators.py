@@ -94,3 +94,12 @@ def test_patterns(spark):
     m = {r.file: r.matches for r in patterns.rule_counts(patterns.latest(f)).collect()}
     assert m["a.py"]["try"] == 1 and m["a.py"]["raise"] == 1 and m["a.py"]["comprehension"] == 1 and m["b.ts"]["await"] == 1 and m["b.ts"]["dynamic-import"] == 1 and m["c.py"] == {} and m["d.go"] == {}
     assert {(r.ext, r.files, r.tested) for r in patterns.tested(f.select("repo", "file").distinct()).collect()} == {("py", 2, 0), ("ts", 1, 1), ("go", 1, 0)}
+
+
+def test_small_reports(spark):
+    f = spark.createDataFrame([("a/b/x", 10), ("a/y", None)], "path string, size_bytes bigint")
+    assert {(r.path, r.bytes, r.files) for r in stats.folder_sizes(f).collect()} == {("a", 10, 2), ("a/b", 10, 1)}
+    d = spark.createDataFrame([(1, "Retry it", "s"), (2, "retry", "t"), (3, None, "u")], "doc_id bigint, text string, source string")
+    assert [(r.term, r.hits, r.source) for r in stats.term_insights(d, ["retry", "none"], 1).collect()] == [("retry", 2, "s")]
+    e = spark.createDataFrame([("error", "LexError: x"), ("error", "LexError: y"), ("function", None)], "type string, error string")
+    assert [(r.phase, r.errors) for r in stats.errors_by_phase(e).collect()] == [("LexError", 2)]

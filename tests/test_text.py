@@ -47,3 +47,11 @@ def test_diff(spark):
     df = spark.createDataFrame([(0, 0), (0, 5), (10, 5)], "a bigint, b bigint")
     absolute, percent = T.numeric_diff(F.col("a"), F.col("b"))
     assert [tuple(r) for r in df.select(absolute, percent).collect()] == [(0, 0.0), (5, 100.0), (-5, -50.0)]
+
+
+def test_sources_of_paths(spark):
+    assert values(spark, T.source_path, "a/dist/x.d.ts", "dist/y.js", "src/z.ts") == ["a/src/x.ts", "src/y.ts", "src/z.ts"]
+    assert values(spark, T.go_exported, "Run", "run", "_x", "") == [True, False, False, False]
+    assert values(spark, T.go_type_parameters, "func F[T any, K comparable](x T)", "func F()") == [["T any", "K comparable"], []]
+    df = spark.createDataFrame([("a.go", "// Code generated by x\npackage a"), ("a.go", "package a // DO NOT EDIT\n"), ("b_pb2.py", ""), ("m/migrations/1.py", "x"), ("c.py", "# hand\n"), ("d.ts", "@generated")], "p string, c string")
+    assert [r[0] for r in df.select(T.is_generated(F.col("p"), F.col("c"))).collect()] == [True, True, True, True, False, False]
