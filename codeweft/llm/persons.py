@@ -24,6 +24,8 @@ from codeweft.session import cut
 Q, ROWS, LIKE, RECALL = 3, 2, 0.45, 0.97
 #: Least Monge-Elkan similarity of forms, and of one pair of tokens.
 SIMILAR, TOKEN = 0.90, 0.86
+#: Most edits between two spellings of a token; a swap of letters is two.
+EDITS = 3
 #: A token with this many different partners is a given name.
 PARTNERS = 6
 
@@ -130,7 +132,11 @@ def bands_for(like: float = LIKE, rows: int = ROWS, recall: float = RECALL) -> i
 
 
 def band_keys(words: pd.Series, bands: int, rows: int, q: int = Q) -> list[list[int]]:
-    """Keys of the MinHash bands of each word's padded q-grams."""
+    """Keys of the MinHash bands of each word's padded q-grams.
+
+    Each band is keyed with the first letter, with the next two and with the first two in order: a mistake spares one of
+    the three, while names that share an ending alone do not meet.
+    """
     r = np.random.default_rng(5)
     a, b = (r.integers(1, (1 << 61) - 1, bands * rows, np.int64).astype(np.uint64) | np.uint64(1) for _ in range(2))
     out = []
@@ -145,7 +151,9 @@ def band_keys(words: pd.Series, bands: int, rows: int, q: int = Q) -> list[list[
         for k in range(rows):
             key = (key ^ low[:, k]) * np.uint64(0x9E3779B97F4A7C15)
             key ^= key >> np.uint64(32)
-        out.append(key.view(np.int64).tolist())
+        anchors = [int.from_bytes(x.encode()[:7] + bytes([n]), "little") for n, x in enumerate((w[:1], w[1:3], "".join(sorted(w[:2]))), 1)]
+        anchored = (key[None, :] ^ np.array(anchors, np.uint64)[:, None]) * np.uint64(0x9E3779B97F4A7C15)
+        out.append((anchored ^ (anchored >> np.uint64(32))).ravel().view(np.int64).tolist())
     return out
 
 
@@ -240,12 +248,14 @@ def similar_forms(forms: DataFrame) -> DataFrame:
     view = forms.select("node", F.explode(F.array_distinct(F.when(F.col("known"), F.array("family")).otherwise(F.array("family", "given")))).alias("word"))
     word = view.select("word").distinct()
     keyed = cut(word.select("word", F.explode(F.pandas_udf(keys, "array<bigint>")("word")).alias("key")))
-    near = keyed.join(keyed.select(F.col("word").alias("other"), "key"), "key").select("word", "other").distinct()
+    # edits are counted in the engine before pairs are made distinct, so few reach the similarity
+    near = keyed.join(keyed.select(F.col("word").alias("other"), "key"), "key").filter((F.col("word") < F.col("other")) & (F.levenshtein("word", "other", EDITS) >= 0)).select("word", "other").distinct()
 
     def likeness(x: pd.Series, y: pd.Series) -> pd.Series:
         return pd.Series([jaro_winkler(a, b) for a, b in zip(x, y)], dtype=float)
 
-    near = cut(near.withColumn("s", F.pandas_udf(likeness, "double")("word", "other")).filter(F.col("s") >= TOKEN).select("word", "other"))
+    near = near.withColumn("s", F.pandas_udf(likeness, "double")("word", "other")).filter(F.col("s") >= TOKEN).select("word", "other")
+    near = cut(near.unionByName(near.select(F.col("other").alias("word"), F.col("word").alias("other"))).unionByName(word.select("word", F.col("word").alias("other"))))
     left = view.join(near, "word").select(F.col("node").alias("a"), F.col("other").alias("word"))
     pairs = left.join(view.select(F.col("node").alias("b"), "word"), "word").filter("a < b").select("a", "b").distinct()
     fa, fb = (forms.select([F.col(c).alias(f"{c}_{s}") for c in ("node", "names", "family", "known", "confirmed")]).withColumnRenamed(f"node_{s}", s) for s in "ab")
