@@ -30,12 +30,17 @@ def callers(calls_: DataFrame, targets: DataFrame, limit: int = 50) -> DataFrame
     targets: name, file. A target without calls has no rows; the limit is the feature's own, per target.
     """
     t = targets.select("name", "file").distinct()
-    exact = t.select("name", "file", F.concat_ws(":", "file", "name").alias("callee_key"), F.lit(0).alias("way"))
-    named = t.join(name_index(calls_), F.col("name") == F.col("segment")).select("name", "file", "callee_key", F.lit(1).alias("way"))
-    keys = exact.unionByName(named).groupBy("name", "file", "callee_key").agg(F.min("way").alias("way"))
-    hits = keys.join(calls_.withColumnRenamed("file", "caller_file"), "callee_key")
-    first = hits.groupBy("name", "file", "caller_file", "caller").agg(F.min(F.struct("way", "ord", "pos", "line", "type")).alias("f"))
-    w = Window.partitionBy("name", "file").orderBy("f.way", "f.ord", "f.pos")
+    hit = F.min(F.struct("ord", "pos", "line", "type")).alias("f")
+    keyed = calls_.withColumnRenamed("file", "caller_file")
+    exact = t.withColumn("callee_key", F.concat_ws(":", "file", "name")).join(keyed, "callee_key").groupBy("name", "file", "caller_file", "caller").agg(hit).withColumn("way", F.lit(0))
+    # callers by name are the same for all targets of the name: ranked once, twice the limit is enough beside the exact ones
+    asked = t.select(F.col("name").alias("segment")).distinct()
+    named = name_index(calls_).join(asked, "segment").join(keyed, "callee_key").groupBy("segment", "caller_file", "caller").agg(hit)
+    w = Window.partitionBy("segment").orderBy("f.ord", "f.pos")
+    named = named.withColumn("r", F.row_number().over(w)).filter(F.col("r") <= 2 * limit).drop("r")
+    named = t.join(named, F.col("name") == F.col("segment")).drop("segment").withColumn("way", F.lit(1))
+    first = exact.unionByName(named).groupBy("name", "file", "caller_file", "caller").agg(F.min(F.struct("way", "f")).alias("m")).select("name", "file", "caller_file", "caller", "m.way", "m.f")
+    w = Window.partitionBy("name", "file").orderBy("way", "f.ord", "f.pos")
     return first.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= limit).select("name", "file", F.col("rank").cast("bigint").alias("rank"), "caller_file", "caller", "f.line", "f.type")
 
 

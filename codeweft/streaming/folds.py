@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from codeweft.session import spread
+
 OUT = "key bigint, seq bigint, allowed boolean, left double"
 
 
@@ -20,20 +22,24 @@ def bucket(left: float, last: float | None, at: float, capacity: float, per_seco
 def rate_limited(events: DataFrame, capacity: float, per_second: float) -> DataFrame:
     """key, seq, allowed and left for requests (key, ts, seq) through a token bucket per key (STM-09).
 
-    A sequential fold per key: rows of a key meet in one task in time order. A null time counts as no time passed.
+    A fold in time order is sequential by nature; rows of a key pass through one task in order, in batches, so its
+    memory does not grow with the key. A null time counts as no time passed.
     """
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["ts", "seq"], na_position="first")
-        left, last, out = capacity, None, []
-        for key, ts, seq in zip(pdf["key"], pdf["ts"], pdf["seq"]):
-            at = last if pd.isna(ts) else ts.timestamp()
-            ok, left = bucket(left, last, at if at is not None else 0.0, capacity, per_second)
-            last = at
-            out.append((key, seq, ok, left))
-        return pd.DataFrame(out, columns=["key", "seq", "allowed", "left"])
-
-    return events.select("key", "ts", "seq").groupBy("key").applyInPandas(fold, OUT)
+    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        owner, left, last = None, capacity, None
+        for pdf in batches:
+            out = []
+            for key, ts, seq in zip(pdf["key"], pdf["ts"], pdf["seq"]):
+                if key != owner:
+                    owner, left, last = key, capacity, None
+                at = last if pd.isna(ts) else ts.timestamp()
+                ok, left = bucket(left, last, at if at is not None else 0.0, capacity, per_second)
+                last = at
+                out.append((key, seq, ok, left))
+            yield pd.DataFrame(out, columns=["key", "seq", "allowed", "left"])
+
+    return spread(events.select("key", "ts", "seq"), "key").sortWithinPartitions("key", "ts", "seq").mapInPandas(fold, OUT)
 
 
 def rate_limited_stream(events: DataFrame, capacity: float, per_second: float) -> DataFrame:
