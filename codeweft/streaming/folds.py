@@ -42,8 +42,11 @@ def rate_limited(events: DataFrame, capacity: float, per_second: float) -> DataF
     return spread(events.select("key", "ts", "seq"), "key").sortWithinPartitions("key", "ts", "seq").mapInPandas(fold, OUT)
 
 
-def rate_limited_stream(events: DataFrame, capacity: float, per_second: float) -> DataFrame:
-    """The same over a stream: the bucket of a key is its state between batches; idle keys are forgotten once full again."""
+def rate_limited_stream(events: DataFrame, capacity: float, per_second: float, late: str = "10 minutes") -> DataFrame:
+    """The same over a stream: the bucket of a key is its state between batches.
+
+    A key is forgotten when the watermark passes the time at which its bucket is full again, so state stays bounded.
+    """
     idle = int(1000 * capacity / per_second)
 
     def fold(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -58,7 +61,8 @@ def rate_limited_stream(events: DataFrame, capacity: float, per_second: float) -
             last = ts.timestamp()
             out.append((key[0], seq, ok, left))
         state.update((left, last))
-        state.setTimeoutDuration(idle)
+        state.setTimeoutTimestamp(max(int(1000 * last) + idle, state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame(out, columns=["key", "seq", "allowed", "left"])
 
-    return events.select("key", "ts", "seq").groupBy("key").applyInPandasWithState(fold, OUT, "left double, last double", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    keyed = events.select("key", "ts", "seq").withWatermark("ts", late).groupBy("key")
+    return keyed.applyInPandasWithState(fold, OUT, "left double, last double", "append", GroupStateTimeout.EventTimeTimeout)

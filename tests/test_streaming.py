@@ -14,7 +14,7 @@ def at(seconds):
 
 
 def run(query):
-    query.awaitTermination(120)
+    assert query.awaitTermination(120)
     assert query.exception() is None
 
 
