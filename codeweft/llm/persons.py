@@ -24,8 +24,8 @@ from codeweft.session import cut
 Q, ROWS, LIKE, RECALL = 3, 2, 0.45, 0.97
 #: Least Monge-Elkan similarity of forms, and of one pair of tokens.
 SIMILAR, TOKEN = 0.90, 0.86
-#: Most edits between two spellings of a token; a swap of letters is two.
-EDITS = 3
+#: Bits of a word's letters: first, second and, of the frequent ones, third occurrences.
+BITS = {x: n for n, x in enumerate([(c, k) for k in (1, 2) for c in "abcdefghijklmnopqrstuvwxyz"] + [(c, 3) for c in "aeiourstln"])}
 #: A token with this many different partners is a given name.
 PARTNERS = 6
 
@@ -132,11 +132,7 @@ def bands_for(like: float = LIKE, rows: int = ROWS, recall: float = RECALL) -> i
 
 
 def band_keys(words: pd.Series, bands: int, rows: int, q: int = Q) -> list[list[int]]:
-    """Keys of the MinHash bands of each word's padded q-grams.
-
-    Each band is keyed with the first letter, with the next two and with the first two in order: a mistake spares one of
-    the three, while names that share an ending alone do not meet.
-    """
+    """Keys of the MinHash bands of each word's padded q-grams."""
     r = np.random.default_rng(5)
     a, b = (r.integers(1, (1 << 61) - 1, bands * rows, np.int64).astype(np.uint64) | np.uint64(1) for _ in range(2))
     out = []
@@ -151,9 +147,7 @@ def band_keys(words: pd.Series, bands: int, rows: int, q: int = Q) -> list[list[
         for k in range(rows):
             key = (key ^ low[:, k]) * np.uint64(0x9E3779B97F4A7C15)
             key ^= key >> np.uint64(32)
-        anchors = [int.from_bytes(x.encode()[:7] + bytes([n]), "little") for n, x in enumerate((w[:1], w[1:3], "".join(sorted(w[:2]))), 1)]
-        anchored = (key[None, :] ^ np.array(anchors, np.uint64)[:, None]) * np.uint64(0x9E3779B97F4A7C15)
-        out.append((anchored ^ (anchored >> np.uint64(32))).ravel().view(np.int64).tolist())
+        out.append(key.view(np.int64).tolist())
     return out
 
 
@@ -180,6 +174,27 @@ def jaro_winkler(a: str, b: str) -> float:
     return jaro + 0.1 * prefix * (1 - jaro)
 
 
+def letter_bits(word: str) -> int:
+    """The letters of a word as a mask of their first occurrences."""
+    seen: dict[str, int] = {}
+    out = 0
+    for c in word:
+        seen[c] = seen.get(c, 0) + 1
+        if (c, seen[c]) in BITS:
+            out |= 1 << BITS[c, seen[c]]
+    return out
+
+
+def likeness_bound(a: str, n: str, bits_a: str, b: str, m: str, bits_b: str) -> Column:
+    """The most that Jaro-Winkler can be for columns of words, their lengths and letters: all common letters match in order."""
+    spare = F.least(F.col(n) - F.bit_count(bits_a), F.col(m) - F.bit_count(bits_b))
+    common = F.bit_count(F.col(bits_a).bitwiseAND(F.col(bits_b))) + spare
+    jaro = F.when(common > 0, (common / F.col(n) + common / F.col(m) + 1) / 3).otherwise(0.0)
+    start = lambda k: F.substring(a, 1, k) == F.substring(b, 1, k)
+    prefix = F.when(~start(1), 0).when(~start(2), 1).when(~start(3), 2).when(~start(4), 3).otherwise(4)
+    return jaro + 0.1 * prefix * (1 - jaro)
+
+
 def monge_elkan(a: list[str], b: list[str], inner=jaro_winkler) -> float:
     """Symmetric: the smaller of the two mean best matches."""
     if not len(a) or not len(b):
@@ -247,9 +262,11 @@ def similar_forms(forms: DataFrame) -> DataFrame:
 
     view = forms.select("node", F.explode(F.array_distinct(F.when(F.col("known"), F.array("family")).otherwise(F.array("family", "given")))).alias("word"))
     word = view.select("word").distinct()
-    keyed = cut(word.select("word", F.explode(F.pandas_udf(keys, "array<bigint>")("word")).alias("key")))
-    # edits are counted in the engine before pairs are made distinct, so few reach the similarity
-    near = keyed.join(keyed.select(F.col("word").alias("other"), "key"), "key").filter((F.col("word") < F.col("other")) & (F.levenshtein("word", "other", EDITS) >= 0)).select("word", "other").distinct()
+    # pairs whose letters alone exclude the likeness are dropped in the engine, so few reach the similarity
+    letters = F.pandas_udf(lambda w: pd.Series([letter_bits(x) for x in w], dtype="int64"), "bigint")("word")
+    keyed = cut(word.select("word", F.length("word").alias("n"), letters.alias("bits"), F.explode(F.pandas_udf(keys, "array<bigint>")("word")).alias("key")))
+    other = keyed.select("key", *[F.col(c).alias(f"{c}_o") for c in ("word", "n", "bits")]).withColumnRenamed("word_o", "other")
+    near = keyed.join(other, "key").filter((F.col("word") < F.col("other")) & (likeness_bound("word", "n", "bits", "other", "n_o", "bits_o") >= TOKEN - 1e-9)).select("word", "other").distinct()
 
     def likeness(x: pd.Series, y: pd.Series) -> pd.Series:
         return pd.Series([jaro_winkler(a, b) for a, b in zip(x, y)], dtype=float)

@@ -60,3 +60,28 @@ def test_entities(spark):
     assert got == want
     assert ps.found(persons.limit(0), nick).collect() == []
     assert ps.found(persons.filter("person_id < 9"), nick.limit(0)).count() > 10
+
+
+#: First letters lost, added or written in another way, and a spelling of more than three edits.
+FIRST_LETTERS = [("kristensen", "christensen"), ("hernandez", "ernandez"), ("hansson", "ansson"), ("konstantinopolis", "constantinopolous")]
+
+
+def test_first_letters_meet(spark):
+    bands = ps.bands_for()
+    for pair in FIRST_LETTERS:
+        a, b = ps.band_keys(list(pair), bands, ps.ROWS)
+        assert len(a) == bands and set(a) & set(b), pair
+    rows = [(f"{g} {f}", g, f, [g], True, False) for n, pair in enumerate(FIRST_LETTERS) for f in pair for g in ["ulrike" + "bdfk"[n] * 3]]
+    forms = spark.createDataFrame(rows, "node string, given string, family string, names array<string>, known boolean, confirmed boolean")
+    got = {(r.a.split()[1], r.b.split()[1]) for r in ps.similar_forms(forms).collect()}
+    assert got == {p for pair in FIRST_LETTERS for p in (pair, pair[::-1])}
+
+
+def test_likeness_bound(spark):
+    r = random.Random(3)
+    words = ["".join(r.choice("aabcekns'") for _ in range(r.randrange(1, 12))) for _ in range(120)] + ["aaaaaaa", "aaaa"]
+    rows = [(a, len(a), ps.letter_bits(a), b, len(b), ps.letter_bits(b)) for a in words for b in words]
+    d = spark.createDataFrame(rows, "a string, n int, x bigint, b string, m int, y bigint")
+    got = d.select("a", "b", ps.likeness_bound("a", "n", "x", "b", "m", "y").alias("most")).collect()
+    assert all(ps.jaro_winkler(r.a, r.b) <= r.most + 1e-9 for r in got)
+    assert sum(r.most < ps.TOKEN for r in got) > len(got) / 2
