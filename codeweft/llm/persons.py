@@ -210,19 +210,18 @@ def star_clusters(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """node and center. nodes: node, weight; edges: a, b in both directions.
 
     A node is a center when no undecided neighbour goes before it (by weight, then name); its undecided neighbours are
-    satellites of the first center they touch. Only edges between undecided nodes are carried to the next round.
+    satellites of the first center they touch. Only edges between undecided nodes are carried to the next
+    round, and it runs until there are none; the first undecided node of all is decided in every round.
     """
     rank = lambda n, r: nodes.select(F.col("node").alias(n), F.struct("weight", "node").alias(r))
-    live, done = cut(edges.select("a", "b").join(rank("a", "ra"), "a").join(rank("b", "rb"), "b")), []
-    for _ in range(40):
+    live, done = cut(edges.select("a", "b").filter("a <> b").join(rank("a", "ra"), "a").join(rank("b", "rb"), "b")), []
+    while not done or not live.isEmpty():
         top = live.groupBy("a", "ra").agg(F.max("rb").alias("m")).filter("ra > m").select("a")
         near = live.join(top.withColumnRenamed("a", "b"), "b").groupBy("a").agg(F.max("rb").alias("m")).select("a", F.col("m.node").alias("center"))
         decided = cut(top.select("a", F.col("a").alias("center")).unionByName(near))
         done.append(decided)
         gone = decided.select("a")
         live = cut(live.join(gone, "a", "left_anti").join(gone.withColumnRenamed("a", "b"), "b", "left_anti"))
-        if live.isEmpty():
-            break
     return nodes.select("node").join(reduce(DataFrame.unionByName, done), F.col("node") == F.col("a"), "left").select("node", F.coalesce("center", "node").alias("center"))
 
 

@@ -458,7 +458,7 @@ def shortest_path(s, d):
     """GRF-03: hops from the file with the most edges to every file it reaches."""
     e = cut(change_edges(s, d))
     start = e.groupBy("src").count().orderBy(F.desc("count"), "src").limit(1).select(F.col("src").alias("node"))
-    return graph.hops_from(e, start, limit=25).select("node", "hops")
+    return graph.hops_from(e, start).select("node", "hops")
 
 
 @query("WITH " + CO + """, del AS (SELECT DISTINCT src AS path FROM edges WHERE contains(src, '/utils/')), ch AS (SELECT src, dst, weight FROM edges WHERE contains(src, '/core/'))

@@ -85,3 +85,11 @@ def test_likeness_bound(spark):
     got = d.select("a", "b", ps.likeness_bound("a", "n", "x", "b", "m", "y").alias("most")).collect()
     assert all(ps.jaro_winkler(r.a, r.b) <= r.most + 1e-9 for r in got)
     assert sum(r.most < ps.TOKEN for r in got) > len(got) / 2
+
+
+def test_stars_of_a_long_chain(spark):
+    n = 84  # two nodes are decided a round
+    nodes = spark.createDataFrame([(f"{i:03}", n - i) for i in range(n)], "node string, weight int")
+    edges = spark.createDataFrame([p for i in range(n - 1) for p in ((f"{i:03}", f"{i + 1:03}"), (f"{i + 1:03}", f"{i:03}"))], "a string, b string")
+    assert {r.node: r.center for r in ps.star_clusters(nodes, edges).collect()} == {f"{i:03}": f"{i - i % 2:03}" for i in range(n)}
+    assert {r.node: r.center for r in ps.star_clusters(nodes.limit(2), edges.limit(0)).collect()} == {"000": "000", "001": "001"}

@@ -1,5 +1,7 @@
 """Hand graphs: ranks, components, paths, weights, incremental updates."""
 
+import random
+
 import pytest
 
 from codeweft.operators import graph, refs
@@ -72,3 +74,17 @@ def test_callers(spark):
 def test_resolution(spark):
     hits = spark.createDataFrame([("run", "runner", 1), ("run", "Task.run", 2), ("go", "gone", 1)], "asked string, name string, rank int")
     assert {(r.asked, r.name) for r in refs.resolved(hits, "asked").collect()} == {("run", "Task.run"), ("go", "gone")}
+
+
+def test_shuffled_chain_is_one_component(spark):
+    ids = list(range(1000))
+    random.Random(7).shuffle(ids)
+    chain = spark.createDataFrame(list(zip(ids, ids[1:])) + [(2000, 2001)], "src bigint, dst bigint")
+    assert {r.component: r["count"] for r in graph.connected_components(chain).groupBy("component").count().collect()} == {0: 1000, 2000: 2}
+
+
+def test_hops_of_a_long_chain(spark):
+    chain = spark.createDataFrame([(f"{i:03}", f"{i + 1:03}") for i in range(54)], "src string, dst string")
+    start = spark.createDataFrame([("000",)], "node string")
+    assert {r.node: r.hops for r in graph.hops_from(chain, start).collect()} == {f"{i:03}": i for i in range(55)}
+    assert graph.hops_from(chain, start, limit=3).count() == 4
