@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from codeweft.functions import text as T
+from codeweft.session import cut
 
 K1, B, RRF = 1.2, 0.75, 60
 TOKEN = r"([\p{L}\p{N}_]+)"
@@ -49,11 +50,23 @@ def top(scored: DataFrame, key: str, k: int, digits: int = 6) -> DataFrame:
     return best.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), key)).cast("bigint"))
 
 
-def fused(legs: list[DataFrame], key: str, depth: int = 100) -> DataFrame:
-    """Reciprocal rank fusion of the first ranks of several legs (SCH-01)."""
+def numbered(scored: DataFrame, key: str, digits: int = 6) -> DataFrame:
+    """key and rank of every row, in the order of top().
+
+    A range-partitioned sort; a row's rank is its place in its partition and the rows of the partitions before, of
+    which there is one count a partition. The sorted rows are checkpointed, as their places must not change.
+    """
+    rows = scored.select(key, F.round("score", digits).alias("score")).orderBy(F.desc("score"), key)
+    placed = cut(rows.select(key, F.spark_partition_id().alias("p"), F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1).alias("i")))
+    before = placed.groupBy("p").agg(F.count("*").alias("n")).select("p", (F.sum("n").over(Window.orderBy("p")) - F.col("n")).alias("before"))
+    return placed.join(F.broadcast(before), "p").select(key, (F.col("before") + F.col("i") + 1).alias("rank"))
+
+
+def fused(legs: list[DataFrame], key: str, depth: int | None = None) -> DataFrame:
+    """Reciprocal rank fusion of the ranks of several legs (SCH-01), whole or, with depth, of the first ranks only."""
     parts = None
     for leg in legs:
-        r = top(leg, key, depth).select(key, (1.0 / (RRF + F.col("rank"))).alias("part"))
+        r = (numbered(leg, key) if depth is None else top(leg, key, depth)).select(key, (1.0 / (RRF + F.col("rank"))).alias("part"))
         parts = r if parts is None else parts.unionByName(r)
     return parts.groupBy(key).agg(F.sum("part").alias("score"))
 

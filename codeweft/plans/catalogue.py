@@ -83,16 +83,26 @@ def search_vector_topk(s, d):
     return search.top(search.nearest(v, "vec_id", "vector", q), "vec_id", 10)
 
 
+def hybrid_legs(s, d) -> list[DataFrame]:
+    v, q = first_vector(s, d)
+    best = search.nearest(v.select("vec_id", "id", "vector"), "vec_id", "vector", q).join(v.select("vec_id", "id"), "vec_id").groupBy("id").agg(F.max("score").alias("score"))
+    t = table(s, d, "components").groupBy("id").agg(F.min_by("text", "ord").alias("text"))
+    return [search.bm25(t, "id", "text", TERMS), best]
+
+
 @query("WITH " + VECTORS + ", t AS (SELECT id, arg_min(text, ord) AS text FROM components GROUP BY id), " + BM25.format(key="id", body="text", source="t", terms=SQL_TERMS) + """,
     a AS (SELECT id, row_number() OVER (ORDER BY round(score, 6) DESC, id) AS r FROM bm), b AS (SELECT id, row_number() OVER (ORDER BY round(max(score), 6) DESC, id) AS r FROM cs GROUP BY id),
     u AS (SELECT id, sum(1.0::DOUBLE / (60 + r)) AS score FROM (SELECT * FROM a WHERE r <= 100 UNION ALL SELECT * FROM b WHERE r <= 100) GROUP BY id)
     SELECT id, score, CAST(row_number() OVER (ORDER BY score DESC, id) AS BIGINT) AS rank FROM (SELECT id, round(score, 6) AS score FROM u) ORDER BY rank LIMIT 10""")
 def search_hybrid_rrf(s, d):
-    """SCH-01: BM25 and vector legs fused by reciprocal ranks."""
-    v, q = first_vector(s, d)
-    best = search.nearest(v.select("vec_id", "id", "vector"), "vec_id", "vector", q).join(v.select("vec_id", "id"), "vec_id").groupBy("id").agg(F.max("score").alias("score"))
-    t = table(s, d, "components").groupBy("id").agg(F.min_by("text", "ord").alias("text"))
-    return search.top(search.fused([search.bm25(t, "id", "text", TERMS), best], "id"), "id", 10)
+    """SCH-01 over the first 100 of each leg, as its SQL has it; search_hybrid_rrf_whole is without that cut."""
+    return search.top(search.fused(hybrid_legs(s, d), "id", depth=100), "id", 10)
+
+
+@query(ORACLES["search_hybrid_rrf"].replace(" WHERE r <= 100", ""))
+def search_hybrid_rrf_whole(s, d):
+    """SCH-01: BM25 and vector legs, whole, fused by reciprocal ranks."""
+    return search.top(search.fused(hybrid_legs(s, d), "id"), "id", 10)
 
 
 @query("WITH " + VECTORS + """, own AS (SELECT split_part(id, ':', 1) AS file FROM v ORDER BY vec_id LIMIT 1), own_n AS (SELECT count(*) AS n FROM v, own WHERE split_part(id, ':', 1) = file),

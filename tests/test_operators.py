@@ -103,3 +103,14 @@ def test_small_reports(spark):
     assert [(r.term, r.hits, r.source) for r in stats.term_insights(d, ["retry", "none"], 1).collect()] == [("retry", 2, "s")]
     e = spark.createDataFrame([("error", "LexError: x"), ("error", "LexError: y"), ("function", None)], "type string, error string")
     assert [(r.phase, r.errors) for r in stats.errors_by_phase(e).collect()] == [("LexError", 2)]
+
+
+def test_fusion_of_whole_legs(spark):
+    a = {f"k{i:03}": ((i * 37) % 101) / 100 for i in range(300)}
+    b = {f"k{i:03}": ((i * 53) % 97) / 100 for i in range(150, 450)}
+    legs = [spark.createDataFrame(sorted(x.items()), "id string, score double").repartition(5) for x in (a, b)]
+    ranks = [{k: r for r, k in enumerate(sorted(x, key=lambda k: (-x[k], k)), 1)} for x in (a, b)]
+    assert {r.id: r["rank"] for r in search.numbered(legs[0], "id").collect()} == ranks[0]
+    got = {r.id: r.score for r in search.fused(legs, "id").collect()}
+    assert got.keys() == a.keys() | b.keys()
+    assert all(abs(s - sum(1 / (60 + r[k]) for r in ranks if k in r)) < 1e-12 for k, s in got.items())
