@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import re
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -44,6 +46,42 @@ def nearest(vectors: DataFrame, key: str, vector: str, query: DataFrame) -> Data
     return vectors.filter(F.col(vector).isNotNull()).crossJoin(F.broadcast(query.limit(1))).select(key, cosine(F.col(vector), F.col("q")).alias("score")).filter("score IS NOT NULL")
 
 
+def nearest_each(vectors: DataFrame, key: str, vector: str, queries: DataFrame, k: int, block: int = 1024, digits: int = 6) -> DataFrame:
+    """query, key, score and rank of the k rows nearest to each row of queries (query, q), ties to the smaller key.
+
+    Vectors and queries are dealt into blocks by hash; a task compares one block of each and keeps its k best a query,
+    which are merged by query. Null and zero vectors take no part, and those of another length than the query's neither.
+    """
+    v = vectors.filter(F.col(vector).isNotNull()).select(F.col(key).alias("key"), F.col(vector).cast("array<double>").alias("v"))
+    q = cut(queries.filter("q IS NOT NULL").select("query", F.col("q").cast("array<double>").alias("q")))
+    nv, nq = (max(1, -(-d.count() // block)) for d in (v, q))
+    v = v.withColumn("vb", F.pmod(F.xxhash64("key"), F.lit(nv)).cast("int")).withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(nq - 1))))
+    q = q.withColumn("qb", F.pmod(F.xxhash64("query"), F.lit(nq)).cast("int")).withColumn("vb", F.explode(F.sequence(F.lit(0), F.lit(nv - 1))))
+
+    def best(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        a, b = a.sort_values("key"), b.assign(n=b["q"].map(len))
+        sizes = a["v"].map(len)
+        for n, asked in b.groupby("n"):
+            rows = a[sizes == n]
+            if not len(rows) or not n:
+                continue
+            x, y = np.stack(rows["v"].to_numpy()), np.stack(asked["q"].to_numpy())
+            lx, ly = np.sqrt((x * x).sum(axis=1)), np.sqrt((y * y).sum(axis=1))
+            with np.errstate(divide="ignore", invalid="ignore"):
+                score = np.floor((y @ x.T) / ly[:, None] / lx[None, :] * 10**digits + 0.5) / 10**digits
+            keys = rows["key"].to_numpy()
+            for name, line in zip(asked["query"], score):
+                first = [j for j in np.argsort(-line, kind="stable")[:k] if not np.isnan(line[j])]
+                out.append(pd.DataFrame({"query": name, "key": keys[first], "score": line[first]}))
+        return pd.concat(out) if out else pd.DataFrame({"query": [], "key": [], "score": []})
+
+    kinds = f"query {q.schema['query'].dataType.simpleString()}, key {v.schema['key'].dataType.simpleString()}, score double"
+    part = v.groupBy("vb", "qb").cogroup(q.groupBy("vb", "qb")).applyInPandas(best, kinds)
+    w = Window.partitionBy("query").orderBy(F.desc("score"), "key")
+    return part.withColumn("rank", F.row_number().over(w).cast("bigint")).filter(F.col("rank") <= k).select("query", F.col("key").alias(key), "score", "rank")
+
+
 def top(scored: DataFrame, key: str, k: int, digits: int = 6) -> DataFrame:
     """The k best with their rank (SRT-01, WIN-10): a distributed top-k, then numbers for k rows. Ties go to the smaller key."""
     best = scored.select(key, F.round("score", digits).alias("score")).orderBy(F.desc("score"), key).limit(k)

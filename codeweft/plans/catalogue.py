@@ -83,6 +83,14 @@ def search_vector_topk(s, d):
     return search.top(search.nearest(v, "vec_id", "vector", q), "vec_id", 10)
 
 
+@query()
+def search_vector_topk_each(s, d):
+    """SCH-03 for the whole query set: every row whose id is divisible by 20, against all rows."""
+    v = table(s, d, "component_vectors").filter("vector IS NOT NULL AND aggregate(vector, 0D, (a, x) -> a + abs(x)) > 0")
+    queries = v.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("query"), F.col("vector").alias("q"))
+    return search.nearest_each(v, "vec_id", "vector", queries, 10)
+
+
 def hybrid_legs(s, d) -> list[DataFrame]:
     v, q = first_vector(s, d)
     best = search.nearest(v.select("vec_id", "id", "vector"), "vec_id", "vector", q).join(v.select("vec_id", "id"), "vec_id").groupBy("id").agg(F.max("score").alias("score"))

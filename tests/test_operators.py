@@ -1,6 +1,7 @@
 """Index, statistics, maps, search and packing on small tables."""
 
 import datetime as dt
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -114,3 +115,20 @@ def test_fusion_of_whole_legs(spark):
     got = {r.id: r.score for r in search.fused(legs, "id").collect()}
     assert got.keys() == a.keys() | b.keys()
     assert all(abs(s - sum(1 / (60 + r[k]) for r in ranks if k in r)) < 1e-12 for k, s in got.items())
+
+
+def test_nearest_to_each_query(spark):
+    r = random.Random(5)
+    x = {i: [r.gauss(0, 1) for _ in range(6)] for i in range(230)}
+    x[7] = x[9] = x[20] = x[40]
+    rows = [*x.items(), (900, None), (901, [0.0] * 6)]
+    v = spark.createDataFrame(rows, "id bigint, v array<float>")
+    queries = v.filter("id % 20 = 0").select(F.col("id").alias("query"), F.col("v").alias("q"))
+    got = search.nearest_each(v, "id", "v", queries, 5, block=4).collect()
+    near = v.crossJoin(queries).select("query", "id", F.round(search.cosine(F.col("v"), F.col("q")), 6).alias("score")).filter("score IS NOT NULL").collect()
+    for q in range(0, 230, 20):
+        want = sorted(((-n.score, n.id) for n in near if n.query == q))[:5]
+        mine = sorted((g["rank"], g.id, g.score) for g in got if g.query == q)
+        assert [(i, n) for n, i, _ in mine] == [(i, n) for n, (_, i) in enumerate(want, 1)]
+        assert all(abs(s + w) < 2e-6 for (_, _, s), (w, _) in zip(mine, want))
+    assert {g.query for g in got} == set(range(0, 230, 20))
