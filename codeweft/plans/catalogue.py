@@ -438,6 +438,13 @@ def pagerank(s, d):
     return graph.pagerank(e, graph.graph_nodes(e), rounds=PR_ROUNDS, tolerance=0).select("node", F.round("rank", 7).alias("rank"))
 
 
+@query()
+def pagerank_converged(s, d):
+    """GRF-01 until the change is below the operator's tolerance, in at most its 100 rounds."""
+    e = cut(change_edges(s, d))
+    return graph.pagerank(e, graph.graph_nodes(e)).select("node", F.round("rank", 7).alias("rank"))
+
+
 @query("WITH " + PR + ", " + C + """, i AS (SELECT dst, count(DISTINCT src) AS incoming FROM edges GROUP BY dst), f AS (SELECT path, arg_min(name, ord) AS name FROM c WHERE name IS NOT NULL GROUP BY path),
     t AS (SELECT node, round(rank, 7) AS score FROM pr ORDER BY score DESC, node LIMIT 20) SELECT node AS file, score, coalesce(incoming, 0) AS incoming, name AS component FROM t LEFT JOIN i ON dst = node LEFT JOIN f ON path = node""")
 def hot_paths(s, d):

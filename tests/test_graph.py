@@ -88,3 +88,20 @@ def test_hops_of_a_long_chain(spark):
     start = spark.createDataFrame([("000",)], "node string")
     assert {r.node: r.hops for r in graph.hops_from(chain, start).collect()} == {f"{i:03}": i for i in range(55)}
     assert graph.hops_from(chain, start, limit=3).count() == 4
+
+
+def test_registered_pagerank_converges(spark, small):
+    entry = pytest.importorskip("__spark_entry__")
+    got = {r.node: r["rank"] for r in entry.queries()["pagerank_converged"](spark, small).collect()}
+    edges = entry.queries()["dependency_edges"](spark, small).collect()
+    total = {}
+    for e in edges:
+        total[e.src] = total.get(e.src, 0) + e.weight
+    n, want = len(got), dict.fromkeys(got, 1 / len(got))
+    for _ in range(300):
+        lost = sum(x for k, x in want.items() if k not in total)
+        new = {k: 0.15 / n + 0.85 * lost / n for k in want}
+        for e in edges:
+            new[e.dst] += 0.85 * want[e.src] * e.weight / total[e.src]
+        want = new
+    assert sum(abs(got[k] - want[k]) for k in want) < 1e-5 + n * 1e-7
