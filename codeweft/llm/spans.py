@@ -1,33 +1,44 @@
 """Problem 9: long exact spans shared between records.
 
-Every stretch of SPAN characters is a paragraph; its MinHash over the shingles of SHINGLE characters is the
-minimum of their hashes in the window. With one row a band the collision curve is p = s, the resemblance, so equal
-paragraphs always collide: the highest recall a band can have, and a text keeps few distinct minima (about
-2 / SPAN of its length), which is the winnowing guarantee. Colliding paragraphs are joined, then verified exactly:
-only they are hashed whole, and a paragraph counts where the same hash stands in another text. Equal texts are one
-class first, so copies cost nothing and no pairs inside a group are ever made. Links between texts and their
+Paragraphs are stretches of PARAGRAPH characters at anchors that the text itself chooses: the least shingle of every
+window of SPAN - PARAGRAPH + 1 positions is one (winnowing), so any SPAN characters hold a whole paragraph that is cut
+alike wherever they stand, and paragraphs need no line breaks. MinHash signatures of the paragraphs over shingles of
+SHINGLE characters go into bands, their number from the collision curve for a wanted recall. Paragraphs that collide
+with one of another text are verified: as spans are verbatim their Jaccard likeness must be 1, which their whole hashes
+tell inside the band. They mark where spans may be; there every stretch of SPAN characters is hashed, equal stretches
+of two texts are joined by their least and greatest text, successive ones are merged into spans, and the characters of
+both ends are compared: the edit distance must be 0. Equal texts are one class first, and groups are aggregated to
+their least member, so no pairs inside a group are ever made; hot keys are split. Links between texts and their
 components give the clusters of removals.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from codeweft.operators.graph import connected_components
-from codeweft.session import cut, spread
+from codeweft.session import cut, spread, unskewed
 
-SPAN, SHINGLE = 200, 100
+SPAN, PARAGRAPH, SHINGLE = 200, 100, 8
+#: Least likeness of paragraphs that the bands are tuned for, rows of a band, and the recall wanted there.
+LIKE, BAND, RECALL = 0.95, 3, 0.97
 #: Two primes of 31 bits; a hash joins the residues, 62 bits.
 PRIMES, BASES = (2147483647, 2147483629), (1000003, 998244353)
 BATCH_ROWS = 200_000
 
 
+def bands_for(like: float = LIKE, rows: int = BAND, recall: float = RECALL) -> int:
+    """Bands that the collision curve 1 - (1 - s^r)^b needs for a recall at a likeness."""
+    return math.ceil(math.log(1 - recall) / math.log(1 - like**rows))
+
+
 @lru_cache(maxsize=8)
 def _powers(n: int, p: int, base: int) -> np.ndarray:
     out = np.ones(1, np.uint64)
@@ -69,24 +80,66 @@ def codes_of(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
 
 
-def minhashes(codes: np.ndarray) -> np.ndarray:
-    """MinHash of the paragraph that starts at each position."""
-    return window_min(_scramble(_rolling(codes, SHINGLE)), SPAN - SHINGLE + 1)
-
-
-def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        ids, values = [], []
-        for i, text in zip(b["id"].to_pylist(), b["text"].to_pylist()):
-            m = np.unique(minhashes(codes_of(text)))
-            ids.append(np.full(len(m), i, np.int64))
-            values.append(m.astype(np.int64))
-        if ids:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(ids)), pa.array(np.concatenate(values))], ["id", "band"])
-
-
-def _paragraphs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Whole hashes of the paragraphs whose MinHash collides with that of another text."""
+def grams(codes: np.ndarray) -> np.ndarray:
+    """Hashes of the shingles at all positions."""
+    h, n = np.zeros(len(codes) - SHINGLE + 1, np.uint64), len(codes) - SHINGLE + 1
+    for k in range(SHINGLE):
+        h = h * np.uint64(0x9E3779B97F4A7C15) + codes[k : k + n]
+    return _scramble(h)
+
+
+def anchors(h: np.ndarray) -> np.ndarray:
+    """Starts of the paragraphs: shingles that are the least of a window of starts."""
+    w = SPAN - PARAGRAPH + 1
+    starts = h[: len(h) + SHINGLE - PARAGRAPH]  # a paragraph must end within the text
+    least = window_min(starts, w)
+    edge = np.full(w - 1, np.iinfo(np.uint64).max, np.uint64)
+    most = ~window_min(np.concatenate([edge, ~least, edge]), w)
+    return np.nonzero(starts == most)[0]
+
+
+def band_keys(h: np.ndarray, at: np.ndarray, bands: int) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of the bands and hash of all shingles in order, for the paragraphs that start at the given places."""
+    r = np.random.default_rng(9)
+    a, b = (r.integers(1, (1 << 63) - 1, bands * BAND, np.int64).astype(np.uint64) | np.uint64(1) for _ in range(2))
+    view, out = np.lib.stride_tricks.sliding_window_view(h, PARAGRAPH - SHINGLE + 1), []
+    order = r.integers(1, (1 << 63) - 1, view.shape[1], np.int64).astype(np.uint64) | np.uint64(1)
+    for k in range(0, len(at), 2048):
+        rows = view[at[k : k + 2048]]
+        keys = np.zeros((len(rows), bands), np.uint64)
+        for f in range(bands * BAND):
+            low = (rows * a[f] + b[f]).min(axis=1)
+            n = f // BAND
+            keys[:, n] = (keys[:, n] ^ _scramble(low + np.uint64(n))) * np.uint64(0x9E3779B97F4A7C15)
+        out.append((keys, _scramble((rows * order).sum(axis=1, dtype=np.uint64))))
+    return tuple(np.concatenate(x) for x in zip(*out)) if out else (np.zeros((0, bands), np.uint64), np.zeros(0, np.uint64))
+
+
+def _sketch(bands: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Band keys and whole hashes of paragraphs; successive equal paragraphs are one row from first to last."""
+        for b in batches:
+            for k in range(0, b.num_rows, 500):
+                ids, texts = (b[c].slice(k, 500).to_pylist() for c in ("id", "text"))
+                hashes = [grams(codes_of(t)) for t in texts]
+                at = [anchors(h) for h in hashes]
+                base = np.cumsum([0] + [len(h) for h in hashes])
+                places, owner = np.concatenate(at), np.repeat(np.arange(len(ids)), [len(x) for x in at])
+                every = np.concatenate(hashes)
+                keys, whole = band_keys(every, places + base[owner], bands)
+                new = np.ones(len(places), bool)
+                new[1:] = (np.diff(places) != 1) | (whole[1:] != whole[:-1]) | (owner[1:] != owner[:-1])
+                first = np.nonzero(new)[0]
+                last = np.append(first[1:], len(places)) - 1
+                wide = lambda x, kind: pa.array(np.repeat(x, bands).astype(kind))
+                columns = [wide(np.array(ids, np.int64)[owner[first]], np.int64), pa.array(keys[first].ravel().view(np.int64)), wide(whole[first].view(np.int64), np.int64), wide(places[first], np.int32), wide(places[last], np.int32)]
+                yield pa.RecordBatch.from_arrays(columns, ["id", "band", "whole", "first", "last"])
+
+    return run
+
+
+def _stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Hashes of the stretches of SPAN characters that hold a paragraph which collides with one of another text."""
     out: list = []
 
     def flush() -> pa.RecordBatch:
@@ -96,10 +149,13 @@ def _paragraphs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     n = 0
     for b in batches:
-        for i, text, bands in zip(b["id"].to_pylist(), b["text"].to_pylist(), b["bands"].to_pylist()):
+        for i, text, places in zip(b["id"].to_pylist(), b["text"].to_pylist(), b["places"].to_pylist()):
             codes = codes_of(text)
-            starts = np.nonzero(np.isin(minhashes(codes), np.array(bands, np.int64).astype(np.uint64)))[0]
-            out.append((np.full(len(starts), i, np.int64), starts.astype(np.int32), _rolling(codes, SPAN)[starts].astype(np.int64)))
+            steps = np.zeros(len(codes) + 1, np.int32)
+            np.add.at(steps, np.maximum([p["first"] - SPAN + PARAGRAPH for p in places], 0), 1)
+            np.add.at(steps, [p["last"] + 1 for p in places], -1)
+            starts = np.nonzero(np.cumsum(steps)[: len(codes) - SPAN + 1])[0]
+            out.append((np.full(len(starts), i, np.int64), starts.astype(np.int32), _rolling(codes, SPAN)[starts].view(np.int64)))
             n += len(starts)
             if n >= BATCH_ROWS:
                 yield flush()
@@ -111,33 +167,51 @@ def _paragraphs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def classes(documents: DataFrame) -> DataFrame:
     """doc_id, id of the class of equal texts and whether others share it; only texts that can hold a span."""
     d = documents.select("doc_id", F.length("text").alias("n_chars"), F.md5("text").alias("digest")).filter(F.col("n_chars") >= SPAN)
-    c = d.groupBy("digest", "n_chars").agg(F.min("doc_id").alias("id"), (F.max("doc_id") > F.min("doc_id")).alias("copied"))
-    return d.join(c, ["digest", "n_chars"]).select("doc_id", "id", "n_chars", "copied").distinct()
+    c = d.groupBy("digest", "n_chars").agg(F.min("doc_id").alias("id"), (F.max("doc_id") > F.min("doc_id")).alias("copied"), F.count("*").alias("rows"))
+    key = F.concat_ws(" ", "digest", "n_chars").alias("digest")
+    return unskewed(d.select("doc_id", "n_chars", key), cut(c.select(key, "id", "copied", "rows")), "digest", "rows").select("doc_id", "id", "n_chars", "copied").distinct()
 
 
-def shared_starts(documents: DataFrame, members: DataFrame) -> DataFrame:
-    """id, start and owner (the least id that has the paragraph) of every paragraph that stands in another text too."""
+def spans(documents: DataFrame, members: DataFrame) -> DataFrame:
+    """id, start, size, other and other_start of the spans that the text of a class shares with that of another class.
+
+    Of the classes that hold a stretch each is joined with the least one, and the least with the greatest.
+    """
     reps = members.filter(F.col("doc_id") == F.col("id")).select("id")
     texts = spread(documents.select(F.col("doc_id").alias("id"), "text").filter(F.length("text") >= SPAN), "id").join(reps, "id", "left_semi")
-    sketch = cut(texts.mapInArrow(_sketch, "id bigint, band bigint"))
-    hot = sketch.groupBy("band").agg(F.min("id").alias("a"), F.max("id").alias("b")).filter("a < b").select("band")
-    bands = sketch.join(hot, "band").groupBy("id").agg(F.collect_list("band").alias("bands"))
-    rows = cut(texts.join(bands, "id").mapInArrow(_paragraphs, "id bigint, start int, hash bigint"))
-    twice = rows.groupBy("hash").agg(F.min("id").alias("owner"), F.max("id").alias("last")).filter("owner < last").select("hash", "owner")
-    return rows.join(twice, "hash").select("id", "start", "owner")
+    sketch = cut(texts.mapInArrow(_sketch(bands_for()), "id bigint, band bigint, whole bigint, first int, last int").withColumn("band", F.xxhash64("band", "whole")))
+    met = cut(sketch.groupBy("band").agg(F.min("id").alias("a"), F.max("id").alias("b"), F.count("*").alias("rows")).filter("a < b").select("band", "rows"))
+    places = unskewed(sketch, met, "band", "rows").groupBy("id").agg(F.collect_set(F.struct("first", "last")).alias("places"))
+    rows = cut(texts.join(places, "id").mapInArrow(_stretches, "id bigint, start int, hash bigint"))
+    place = F.struct("id", "start")
+    twice = cut(rows.groupBy("hash").agg(F.min(place).alias("low"), F.max(place).alias("high"), F.count("*").alias("rows")).filter("low.id < high.id"))
+    other = F.when(F.col("id") == F.col("low.id"), F.col("high")).otherwise(F.col("low"))
+    s = unskewed(rows, twice, "hash", "rows").select("id", "start", other.alias("o")).select("id", "start", F.col("o.id").alias("other"), (F.col("o.start") - F.col("start")).alias("shift"))
+    w = Window.partitionBy("id").orderBy("start")
+    s = s.withColumn("again", F.lag("start").over(w) == F.col("start")).filter("again IS NOT TRUE")  # repeated rows
+    goes_on = (F.lag("other").over(w) == F.col("other")) & (F.lag("shift").over(w) == F.col("shift")) & (F.lag("start").over(w) == F.col("start") - 1)
+    s = s.withColumn("n", F.sum(F.when(goes_on, 0).otherwise(1)).over(w)).groupBy("id", "n", "other", "shift").agg(F.min("start").alias("start"), F.count("*").alias("k"))
+    s = cut(s.select("id", "start", (F.col("k") + SPAN - 1).cast("int").alias("size"), "other", (F.col("start") + F.col("shift")).alias("other_start")))
+    # the characters of both ends, compared by what the other end is
+    end = ["other", "other_start", "size"]
+    ends = s.select("id", "start", *end).unionByName(s.select(F.col("other").alias("id"), F.col("other_start").alias("start"), *end).distinct())
+    said = ends.join(texts, "id").select(*end, F.substring("text", F.col("start") + 1, F.col("size")).alias("said"))
+    unlike = cut(said.groupBy(*end).agg(F.min("said").alias("a"), F.max("said").alias("b")).filter("a <> b").select(*end))
+    return s if unlike.isEmpty() else s.join(unlike, end, "left_anti")
 
 
 def coverage(documents: DataFrame) -> DataFrame:
     """doc_id, n_chars, shared_chars and share of every text that shares a span.
 
     Texts that are null, empty or shorter than a span share nothing; a text that occurs twice is shared as a whole.
-    Characters are code points; a doc_id that occurs in several rows is one record. Two equal spans inside one text
+    Characters are code points; rows that repeat a doc_id and its text are one record. Two equal spans inside one text
     alone are not shared.
     """
     members = cut(classes(documents))
-    starts = shared_starts(documents, members).groupBy("id").agg(F.array_sort(F.collect_set("start")).alias("s"))
-    gaps = F.zip_with("s", F.slice("s", 2, F.greatest(F.size("s"), F.lit(1))), lambda a, b: F.least(F.coalesce(b - a, F.lit(SPAN)), F.lit(SPAN)))
-    covered = starts.select("id", F.aggregate(gaps, F.lit(0).cast("bigint"), lambda a, x: a + x).alias("covered"))
+    s = spans(documents, members).select("id", "start", (F.col("start") + F.col("size")).alias("end"))
+    w = Window.partitionBy("id").orderBy("start", "end")
+    before = F.coalesce(F.max("end").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    covered = s.withColumn("new", F.greatest(F.col("end") - F.greatest("start", before), F.lit(0))).groupBy("id").agg(F.sum("new").alias("covered"))
     m = members.join(covered, "id", "left").withColumn("shared_chars", F.when(F.col("copied"), F.col("n_chars")).otherwise(F.col("covered")).cast("bigint"))
     m = m.filter(F.col("shared_chars") > 0)
     return m.groupBy("doc_id").agg(F.max("n_chars").cast("bigint").alias("n_chars"), F.max("shared_chars").alias("shared_chars")).withColumn("share", F.col("shared_chars") / F.col("n_chars"))
@@ -149,10 +223,11 @@ def found(documents: DataFrame) -> DataFrame:
 
 
 def clusters(documents: DataFrame) -> DataFrame:
-    """doc_id, cluster (its least doc_id) and links (other texts it is linked to by the owners of its paragraphs)."""
+    """doc_id, cluster (its least doc_id), links (other texts its spans are joined with) and removed: all but the least of a cluster."""
     members = cut(classes(documents))
-    links = cut(shared_starts(documents, members).filter("id <> owner").select(F.col("id").alias("src"), F.col("owner").alias("dst")).distinct())
+    links = cut(spans(documents, members).select(F.col("id").alias("src"), F.col("other").alias("dst")).distinct())
     comps = connected_components(links)
     degree = links.unionByName(links.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).groupBy(F.col("src").alias("id")).agg(F.countDistinct("dst").alias("links"))
     m = members.join(comps.withColumnRenamed("node", "id"), "id", "left").join(degree, "id", "left").filter(F.col("copied") | F.col("component").isNotNull())
-    return m.groupBy("doc_id").agg(F.min(F.coalesce("component", "id")).alias("cluster"), F.max(F.coalesce("links", F.lit(0))).cast("bigint").alias("links"))
+    g = m.groupBy("doc_id").agg(F.min(F.coalesce("component", "id")).alias("cluster"), F.max(F.coalesce("links", F.lit(0))).cast("bigint").alias("links"))
+    return g.withColumn("removed", F.col("doc_id") != F.col("cluster"))

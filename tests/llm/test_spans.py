@@ -43,3 +43,26 @@ def test_coverage(spark):
     cluster = {x.doc_id: x.cluster for x in sp.clusters(df).collect()}
     assert set(cluster) == set(got) and cluster[1] == cluster[2] == cluster[4] == cluster[11] == 1 and cluster[100] == cluster[139] == 10 and cluster[7] == cluster[9] == 7
     assert sp.found(df.limit(0)).collect() == []
+
+
+def test_paragraphs_are_cut_alike():
+    r = random.Random(8)
+    for text in ("".join(r.choice("ab ") for _ in range(900)), "long " * 200, "=" * 700, "".join(chr(r.randrange(32, 900)) for _ in range(1500))):
+        h = sp.grams(sp.codes_of(text))
+        whole = set(sp.anchors(h).tolist())
+        for s in range(0, len(text) - sp.SPAN + 1, 37):
+            part = {s + int(x) for x in sp.anchors(sp.grams(sp.codes_of(text[s : s + sp.SPAN])))}
+            assert part and part <= whole
+
+
+def test_collision_curve():
+    bands = sp.bands_for()
+    assert 1 - (1 - sp.LIKE**sp.BAND) ** bands >= sp.RECALL
+    r, met, n = random.Random(9), 0, 200
+    for _ in range(n):
+        a = [r.choice("abcdefghij ") for _ in range(sp.PARAGRAPH)]
+        b = a[:-2] + ["x", "y"]  # about two of 93 shingles differ
+        keys = [sp.band_keys(sp.grams(sp.codes_of("".join(x))), np.array([0]), bands) for x in (a, b)]
+        met += bool((keys[0][0] == keys[1][0]).any())
+        assert keys[0][1] != keys[1][1]
+    assert met >= 0.93 * n
