@@ -8,6 +8,7 @@ from codeweft.session import table
 QUERIES = {
     "p1_found": lambda s, d: handwritten.found(table(s, d, "source_files"), table(s, d, "upstream_files")),
     "p1_verdicts": lambda s, d: handwritten.judged(table(s, d, "source_files"), table(s, d, "upstream_files")),
+    "p1_held_out": lambda s, d: handwritten.held_out(table(s, d, "source_files"), table(s, d, "upstream_files")),
     "p2_found": lambda s, d: syntax.found(table(s, d, "source_files")),
     "p2_errors": lambda s, d: syntax.syntax_errors(table(s, d, "source_files")),
     "p2_rates": lambda s, d: syntax.rates(table(s, d, "source_files")),
