@@ -1,10 +1,12 @@
 """Problem 3: the k most similar vectors of every vector, by a permutation index.
 
-A bounded sample of vectors are pivots. Every vector is represented by its nearest pivots in order and is posted in
-the inverted files of the first of them. Inside a file (in blocks of bounded size, so that a dense region is many
-tasks) candidates are ranked by the footrule distance of their pivot orders and the best are reranked by the exact
-cosine; the files' results are merged per vector. Equal vectors are one class, expanded at the end only as far as k.
-The pivots grow with the square root of the rows, so files stay short: the pairs compared grow as n to 1.5.
+A sample of vectors are pivots. Every vector is represented by its nearest pivots in order and is posted in the
+inverted files of the first of them. Inside a file (in blocks of bounded size, so that a dense region is many tasks)
+candidates are ranked by the footrule distance of their pivot orders, read from the columns of a vector's own pivots,
+and only the best are reranked by the exact cosine; the files' results are merged per vector. Equal vectors are one
+class, expanded at the end only as far as k. The pivots grow with the square root of the rows, so files stay short: the
+pairs ranked grow as n to 1.5. exact=True puts all vectors in one file and reranks all of it, as do rows whose vectors
+have another length than most: their files are their lengths.
 """
 
 from __future__ import annotations
@@ -22,66 +24,72 @@ from codeweft.session import cut, spread
 
 K = 10
 #: Nearest pivots kept in order, inverted files a vector is posted in, candidates reranked per file.
-ORDER, POSTED, RERANKED = 8, 6, 200
-#: Pivots are 4 sqrt(n), at least 16; the sample and its broadcast never exceed MAX_PIVOTS vectors.
-MAX_PIVOTS = 32_768
+ORDER, POSTED, RERANKED = 12, 6, 120
+#: Pivots are so many times the root of the rows, at least 16 (126 491 pivots for a thousand million rows), shipped once to every executor.
+PIVOTS = 4
 BLOCK = 2_000
 
 
-def usable(vectors: DataFrame, dimension: int | None = None) -> DataFrame:
-    """vec_id, vector and its hashes for rows with a finite vector of the usual length that is not all zero."""
+def usable(vectors: DataFrame) -> DataFrame:
+    """vec_id, vector and its hashes for rows with a finite vector that is not all zero; of several vectors of an id the least."""
     v = vectors.select("vec_id", F.col("vector").cast("array<float>").alias("vector")).filter("vec_id IS NOT NULL AND size(vector) > 0 AND NOT exists(vector, x -> x IS NULL)")
     v = v.withColumn("norm", F.sqrt(F.aggregate("vector", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))))
-    v = v.filter((F.col("norm") > 0) & (F.col("norm") < float("inf")) & ~F.isnan("norm"))
-    if dimension is None:
-        usual = v.groupBy(F.size("vector").alias("d")).count().orderBy(F.desc("count"), "d").first()
-        dimension = usual.d if usual else 0
-    v = v.filter(F.size("vector") == dimension)
-    return v.select("vec_id", "vector", "norm", F.xxhash64("vector").alias("h1"), F.hash("vector").alias("h2"))
+    v = v.filter((F.col("norm") > 0) & (F.col("norm") < float("inf")) & ~F.isnan("norm")).groupBy("vec_id").agg(F.min("vector").alias("vector"))
+    return v.select("vec_id", "vector", F.xxhash64("vector").alias("h1"), F.hash("vector").alias("h2"))
 
 
-def _permute(pivots: np.ndarray, order: int):
+def _permute(shared, order: int):
+    """id, unit and perm: the vector at unit length and its nearest pivots; of another length than theirs, minus that length."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pivots = shared.value
+        lists = lambda a: pa.ListArray.from_arrays(pa.array(np.arange(0, a.size + 1, a.shape[1], dtype=np.int32)), pa.array(a.ravel()))
         for b in batches:
-            if not b.num_rows:
-                continue
-            x = np.asarray(b["vector"].flatten(), np.float32).reshape(b.num_rows, -1)
-            x = x / np.sqrt((x.astype(np.float64) ** 2).sum(1))[:, None].astype(np.float32)
-            near = x @ pivots.T
-            take = min(order, len(pivots))
-            first = np.argpartition(-near, take - 1, axis=1)[:, :take]
-            first = np.take_along_axis(first, np.argsort(-np.take_along_axis(near, first, 1), axis=1, kind="stable"), 1)
-            lists = lambda a: pa.ListArray.from_arrays(pa.array(np.arange(0, a.size + 1, a.shape[1], dtype=np.int32)), pa.array(a.ravel()))
-            yield pa.RecordBatch.from_arrays([b["id"], lists(x), lists(first.astype(np.int32))], ["id", "unit", "perm"])
+            sizes = np.diff(b["vector"].offsets.to_numpy())
+            for size in np.unique(sizes):
+                part = b.filter(pa.array(sizes == size))
+                x = np.asarray(part["vector"].flatten(), np.float32).reshape(part.num_rows, -1)
+                x = x / np.sqrt((x.astype(np.float64) ** 2).sum(1))[:, None].astype(np.float32)
+                if size != pivots.shape[1]:
+                    first = np.full((len(x), 1), -size)
+                else:
+                    near = x @ pivots.T
+                    take = min(order, len(pivots))
+                    first = np.argpartition(-near, take - 1, axis=1)[:, :take]
+                    first = np.take_along_axis(first, np.argsort(-np.take_along_axis(near, first, 1), axis=1, kind="stable"), 1)
+                yield pa.RecordBatch.from_arrays([part["id"], lists(x), lists(first.astype(np.int32))], ["id", "unit", "perm"])
 
     return run
 
 
 def _search(k: int, reranked: int):
     def run(g: pd.DataFrame) -> pd.DataFrame:
-        """The k best per vector of one pair of blocks: footrule first, then cosine."""
+        """The k best per vector of one pair of blocks: footrule first, then the cosine of the best; a file of one pivot is compared whole."""
         ids, unit, perm, block = g["id"].to_numpy(), np.stack(g["unit"].to_numpy()), np.stack(g["perm"].to_numpy()), g["block"].to_numpy()
         n, order = perm.shape
         pivots, at = np.unique(perm, return_inverse=True)
-        weight = np.zeros((n, len(pivots)), np.int8)
-        weight[np.arange(n)[:, None], at.reshape(n, order)] = order - np.arange(order, dtype=np.int8)
-        # footrule = order (order + 1) - 2 * sum of min(weights); the minimum is a sum of products of threshold indicators
-        steps = np.concatenate([(weight >= t).astype(np.float32) for t in range(1, order + 1)], axis=1)
-        cross = block[0] != block[-1] or block.min() != block.max()
+        at = at.reshape(n, order)
+        small = np.int8 if order <= 15 else np.int32  # what the sum of all weights needs
+        weights = order - np.arange(order, dtype=small)
+        # footrule = order (order + 1) - 2 * sum of the lesser weights that two orders give to a pivot
+        posted = np.zeros((len(pivots), n), small)
+        posted[at.ravel(), np.repeat(np.arange(n), order)] = np.tile(weights, n)
+        cross, every = block.min() != block.max(), len(pivots) == 1 or n <= reranked
         left, right, value = [], [], []
-        for a in range(0, n, 512):
-            rows = np.arange(a, min(n, a + 512))
-            agree = steps[rows] @ steps.T
-            agree[rows - a, rows] = -1
-            if cross:
-                agree[block[rows][:, None] == block[None, :]] = -1
-            cos = unit[rows] @ unit.T
-            if n > reranked:
-                best = np.argpartition(-agree, reranked - 1, axis=1)[:, :reranked]
-                agree, cos = np.take_along_axis(agree, best, 1), np.take_along_axis(cos, best, 1)
+        for a in range(0, n, 128):
+            rows = np.arange(a, min(n, a + 128))
+            if every:
+                best = np.broadcast_to(np.arange(n), (len(rows), n))
+                cos = unit[rows] @ unit.T
             else:
-                best = np.broadcast_to(np.arange(n), agree.shape)
-            cos = np.where(agree < 0, -2, cos)
+                agree = np.zeros((len(rows), n), small)
+                for j in range(order):
+                    agree += np.minimum(posted[at[rows, j]], weights[j])
+                best = np.argpartition(-agree, reranked, axis=1)[:, : reranked + 1]
+                cos = np.einsum("rd,rbd->rb", unit[rows], unit[best])
+            cos[best == rows[:, None]] = -2
+            if cross:
+                cos[block[best] == block[rows][:, None]] = -2
             top = np.argpartition(-cos, min(k, cos.shape[1]) - 1, axis=1)[:, :k]
             left.append(np.repeat(ids[rows], top.shape[1]))
             right.append(ids[np.take_along_axis(best, top, 1)].ravel())
@@ -92,19 +100,21 @@ def _search(k: int, reranked: int):
     return run
 
 
-def class_neighbours(reps: DataFrame, n: int, k: int, order: int, posted: int, reranked: int) -> DataFrame:
+def class_neighbours(reps: DataFrame, n: int, k: int, order: int, posted: int, reranked: int, exact: bool) -> DataFrame:
     """id, other, cosine: the k best other classes found for every class (id, vector)."""
     spark = reps.sparkSession
-    count = min(MAX_PIVOTS, max(16, int(4 * math.sqrt(n))), n)
-    sample = reps.orderBy(F.xxhash64("id"), "id").limit(count).select("vector").toPandas()
-    if not len(sample):
+    usual = reps.groupBy(F.size("vector").alias("d")).count().orderBy(F.desc("count"), "d").first()
+    if usual is None:
         return spark.createDataFrame([], "id bigint, other bigint, cosine double")
+    count = 1 if exact else min(max(16, int(PIVOTS * math.sqrt(n))), n)
+    sample = reps.filter(F.size("vector") == usual.d).orderBy(F.xxhash64("id"), "id").limit(count).select("vector").toPandas()
     pivots = np.stack(sample["vector"].to_numpy()).astype(np.float64)
     pivots = (pivots / np.sqrt((pivots**2).sum(1))[:, None]).astype(np.float32)
-    index = cut(spread(reps.select("id", "vector"), "id").mapInArrow(_permute(pivots, order), "id bigint, unit array<float>, perm array<int>"))
+    shared = spark.sparkContext.broadcast(pivots)
+    index = cut(spread(reps.select("id", "vector"), "id").mapInArrow(_permute(shared, order), "id bigint, unit array<float>, perm array<int>"))
     post = index.select("id", "unit", "perm", F.explode(F.slice("perm", 1, posted)).alias("pivot"))
     sizes = post.groupBy("pivot").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    post = post.join(F.broadcast(sizes), "pivot")  # one row a pivot: at most MAX_PIVOTS
+    post = post.join(F.broadcast(sizes), "pivot")  # one row a pivot or length of vectors, fewer bytes than the pivots
     post = post.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     post = post.withColumn("x", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     post = post.select("pivot", F.least("block", "x").alias("low"), F.greatest("block", "x").alias("high"), "id", "unit", "perm", "block")
@@ -114,18 +124,18 @@ def class_neighbours(reps: DataFrame, n: int, k: int, order: int, posted: int, r
     return best.withColumn("r", F.row_number().over(w)).filter(F.col("r") <= k).drop("r")
 
 
-def neighbours(vectors: DataFrame, k: int = K, order: int = ORDER, posted: int = POSTED, reranked: int = RERANKED) -> DataFrame:
+def neighbours(vectors: DataFrame, k: int = K, order: int = ORDER, posted: int = POSTED, reranked: int = RERANKED, exact: bool = False) -> DataFrame:
     """vec_id, rank, other, cosine: the k most similar other rows of every row.
 
-    Rows without an id, with null, zero or non-finite vectors or of an unusual length take no part. Equal vectors are
-    neighbours of cosine 1; ties go to the smaller vec_id. An empty table gives no rows, fewer than k other rows all of
-    them. Rows that repeat a vec_id and vector count once.
+    Rows without an id and with null, zero or non-finite vectors take no part; vectors are compared with those of their
+    length. Equal vectors are neighbours of cosine 1; ties go to the smaller vec_id. An empty table gives no rows, fewer
+    than k other rows all of them. Of rows that repeat a vec_id the least vector counts.
     """
-    v = cut(usable(vectors).dropDuplicates(["vec_id"]))
+    v = cut(usable(vectors))
     classes = v.groupBy("h1", "h2").agg(F.min("vec_id").alias("id"))
     members = cut(v.join(classes, ["h1", "h2"]).select("vec_id", "id", "vector"))
     reps = members.filter("vec_id = id").select("id", "vector")
-    near = cut(class_neighbours(reps, classes.count(), k, order, posted, reranked))
+    near = cut(class_neighbours(reps, reps.count(), k, order, posted, reranked, exact))
     first = Window.partitionBy("id").orderBy("vec_id")
     mates = members.select("id", "vec_id").withColumn("r", F.row_number().over(first)).filter(F.col("r") <= k + 1).drop("r")
     mates = mates.withColumnRenamed("vec_id", "other")

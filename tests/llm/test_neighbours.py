@@ -28,12 +28,13 @@ def test_hot_and_equal(spark, monkeypatch):
     monkeypatch.setattr(nb, "BLOCK", 40)
     r = np.random.default_rng(2)
     rows = [(i, [float(x) for x in r.normal(size=8) * 0.01 + (np.eye(8)[0] if i % 3 else r.normal(size=8))]) for i in range(500)]
-    rows += [(1000 + i, rows[0][1]) for i in range(60)] + [(2000, None), (2001, [0.0] * 8), (2002, [float("nan")] * 8), (2003, [1.0] * 5), (2004, [])]
+    rows += [(1000 + i, rows[0][1]) for i in range(60)] + [(2000, None), (2001, [0.0] * 8), (2002, [float("nan")] * 8), (2003, [1.0] * 5), (2005, [1.0, 1.0, 1.0, 1.0, 0.5]), (2004, [])]
     df = spark.createDataFrame([(i, v, 1) for i, v in rows], "vec_id bigint, vector array<float>, id int")
     true = brute(rows)
     got = {}
     for x in nb.neighbours(df).collect():
         got.setdefault(x.vec_id, {})[x.other] = x.cosine
+    assert set(got.pop(2003)) == {2005} and set(got.pop(2005)) == {2003}
     assert set(got) == set(true) and all(len(x) == 10 and i not in x for i, x in got.items())
     assert set(got[1059]) == {0, *range(1000, 1009)} and set(got[1000]) == {0, *range(1001, 1010)}
     assert np.mean([np.isclose(sorted(got[i].values(), reverse=True), true[i][1], atol=1e-5).mean() for i in true]) > 0.93
@@ -42,3 +43,14 @@ def test_hot_and_equal(spark, monkeypatch):
     assert nb.found(df.limit(0)).collect() == []
     few = {x.vec_id: x.other for x in nb.neighbours(df.filter("vec_id < 2")).collect()}
     assert few == {0: 1, 1: 0}
+
+
+def test_exact(spark, monkeypatch):
+    monkeypatch.setattr(nb, "BLOCK", 60)
+    r = np.random.default_rng(4)
+    rows = [(i, [float(x) for x in r.normal(size=6)]) for i in range(250)]
+    true = brute(rows)
+    got = {}
+    for x in nb.neighbours(spark.createDataFrame(rows, "vec_id bigint, vector array<float>"), exact=True).collect():
+        got.setdefault(x.vec_id, set()).add(x.other)
+    assert got == {i: s for i, (s, _) in true.items()}
