@@ -1,8 +1,9 @@
 """Problem 4: variant spellings of names typed by people and organisations.
 
 Names are folded and cut into tokens; distinct given-family forms (not rows) are compared. MinHash bands over the padded
-q-grams of the family part, their number taken from the collision curve for a wanted recall, propose pairs; Monge-Elkan
-similarity with Jaro-Winkler inside verifies them; star clustering, the most frequent forms first, makes entities. Rows
+q-grams of the distinct words, their number taken from the collision curve for a wanted recall, propose pairs of like
+words; two forms are candidates if their given names and their families are like words, in either order, so that forms
+of a frequent family do not all meet; Monge-Elkan similarity with Jaro-Winkler inside verifies them; star clustering, the most frequent forms first, makes entities. Rows
 that do not spell a whole name (initials, nicknames, handles) join the star whose address or alias they share, if it
 is the only one that their name allows.
 """
@@ -16,6 +17,7 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -24,10 +26,14 @@ from codeweft.session import cut
 Q, ROWS, LIKE, RECALL = 3, 2, 0.45, 0.97
 #: Least Monge-Elkan similarity of forms, and of one pair of tokens.
 SIMILAR, TOKEN = 0.90, 0.86
+#: Least likeness of two known given names of more than one edit.
+GIVEN = 0.93
 #: Bits of a word's letters: first, second and, of the frequent ones, third occurrences.
 BITS = {x: n for n, x in enumerate([(c, k) for k in (1, 2) for c in "abcdefghijklmnopqrstuvwxyz"] + [(c, 3) for c in "aeiourstln"])}
 #: A token with this many different partners is a given name.
 PARTNERS = 6
+#: Words of a band's bucket that a task compares with all of it; fuller buckets are split.
+BUCKET = 2_000
 
 # Names of nobody, local parts of shared addresses, words of organisations, letters that do not decompose.
 NOBODY = frozenset("your name|you|name|user|admin|administrator|unknown|ubuntu|root|ci|dev|developer|none|null|n/a|na|nobody|anonymous|test|guest|localhost|system|bot|default|git|builder|build|deploy|jenkins|runner|worker|vagrant|debian|pi|me|no name|noname|first last|john doe|todo|example|author|committer|github|gitlab|automation|noreply|no-reply".split("|"))
@@ -151,6 +157,15 @@ def band_keys(words: pd.Series, bands: int, rows: int, q: int = Q) -> list[list[
     return out
 
 
+def slip_keys(words: pd.Series) -> list[list[int]]:
+    """Keys of each word with one letter or none left out: words that one slip (a letter more, less, other, or two in turn) parts share one."""
+    out = []
+    for w in words:
+        less = {w[:i] + w[i + 1 :] for i in range(len(w))} | {w}
+        out.append(np.array([xxhash.xxh64_intdigest(x, 4) for x in sorted(less)], np.uint64).view(np.int64).tolist())
+    return out
+
+
 def jaro_winkler(a: str, b: str) -> float:
     if a == b:
         return 1.0
@@ -252,44 +267,67 @@ def forms_of(rows: DataFrame, nicknames: DataFrame) -> DataFrame:
     return two.join(option, ["family", "typed"], "left").withColumn("given", F.coalesce("given", "typed"))
 
 
-def similar_forms(forms: DataFrame) -> DataFrame:
-    """a, b: forms (in both directions) whose names are spellings of one another. forms: node, given, family, known, confirmed."""
+def like_words(words: DataFrame) -> DataFrame:
+    """word, other and s, their Jaro-Winkler likeness, of all pairs (both ways, and every word with itself) of at least TOKEN that share a band,
+    or that one slip parts: in short words it leaves too few q-grams for the bands.
+
+    A bucket of more than BUCKET words is compared in blocks, each with the whole bucket. Pairs whose letters alone
+    exclude the likeness are dropped in the engine, so few reach the similarity.
+    """
     bands = bands_for()
 
-    def keys(words: pd.Series) -> pd.Series:
-        return pd.Series(band_keys(words, bands, ROWS), dtype=object)
+    def keys(w: pd.Series) -> pd.Series:
+        return pd.Series([a + b for a, b in zip(band_keys(w, bands, ROWS), slip_keys(w))], dtype=object)
 
-    view = forms.select("node", F.explode(F.array_distinct(F.when(F.col("known"), F.array("family")).otherwise(F.array("family", "given")))).alias("word"))
-    word = view.select("word").distinct()
-    # pairs whose letters alone exclude the likeness are dropped in the engine, so few reach the similarity
     letters = F.pandas_udf(lambda w: pd.Series([letter_bits(x) for x in w], dtype="int64"), "bigint")("word")
-    keyed = cut(word.select("word", F.length("word").alias("n"), letters.alias("bits"), F.explode(F.pandas_udf(keys, "array<bigint>")("word")).alias("key")))
-    other = keyed.select("key", *[F.col(c).alias(f"{c}_o") for c in ("word", "n", "bits")]).withColumnRenamed("word_o", "other")
-    near = keyed.join(other, "key").filter((F.col("word") < F.col("other")) & (likeness_bound("word", "n", "bits", "other", "n_o", "bits_o") >= TOKEN - 1e-9)).select("word", "other").distinct()
+    keyed = cut(words.select("word", F.length("word").alias("n"), letters.alias("bits"), F.explode(F.pandas_udf(keys, "array<bigint>")("word")).alias("key")))
+    blocks = keyed.groupBy("key").agg(F.ceil(F.count("*") / BUCKET).cast("int").alias("blocks"), F.count("*").alias("c")).filter("c > 1").select("key", "blocks")
+    keyed = keyed.join(blocks, "key")
+    left = keyed.withColumn("block", F.pmod(F.xxhash64("word"), F.col("blocks")).cast("int"))
+    other = keyed.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("key", "block", *[F.col(c).alias(f"{c}_o") for c in ("n", "bits")], F.col("word").alias("other"))
+    near = left.join(other, ["key", "block"]).filter((F.col("word") < F.col("other")) & (likeness_bound("word", "n", "bits", "other", "n_o", "bits_o") >= TOKEN - 1e-9)).select("word", "other").distinct()
 
     def likeness(x: pd.Series, y: pd.Series) -> pd.Series:
         return pd.Series([jaro_winkler(a, b) for a, b in zip(x, y)], dtype=float)
 
-    near = near.withColumn("s", F.pandas_udf(likeness, "double")("word", "other")).filter(F.col("s") >= TOKEN).select("word", "other")
-    near = cut(near.unionByName(near.select(F.col("other").alias("word"), F.col("word").alias("other"))).unionByName(word.select("word", F.col("word").alias("other"))))
-    left = view.join(near, "word").select(F.col("node").alias("a"), F.col("other").alias("word"))
-    pairs = left.join(view.select(F.col("node").alias("b"), "word"), "word").filter("a < b").select("a", "b").distinct()
-    fa, fb = (forms.select([F.col(c).alias(f"{c}_{s}") for c in ("node", "names", "family", "known", "confirmed")]).withColumnRenamed(f"node_{s}", s) for s in "ab")
-    pairs = pairs.join(fa, "a").join(fb, "b")
+    near = near.withColumn("s", F.pandas_udf(likeness, "double").asNondeterministic()("word", "other")).filter(F.col("s") >= TOKEN)
+    back = near.select(F.col("other").alias("word"), F.col("word").alias("other"), "s")
+    return cut(near.unionByName(back).unionByName(words.select("word", F.col("word").alias("other"), F.lit(1.0).alias("s"))))
+
+
+def similar_forms(forms: DataFrame) -> DataFrame:
+    """a, b: forms (in both directions) whose names are spellings of one another. forms: node, given, names, family, known, confirmed."""
+    view = cut(forms.select("node", "family", "known", F.explode("names").alias("name")))
+    near = like_words(view.select(F.col("name").alias("word")).union(view.select("family")).distinct())
+    step = lambda c, to, score: near.select(F.col("word").alias(c), F.col("other").alias(to), F.col("s").alias(score))
+    # the most that the similarity of the two words of each side may be, paired straight or crossed
+    straight = view.join(step("family", "f", "sf"), "family").join(step("name", "g", "sg"), "name").filter(F.col("sf") + F.col("sg") >= 2 * SIMILAR - 0.04)
+    crossed = view.filter("NOT known").join(step("family", "g", "sf"), "family").join(step("name", "f", "sg"), "name").filter(F.col("sf") + F.col("sg") >= 2 * SIMILAR - 0.04)
+    target = view.select(F.col("node").alias("b"), F.col("family").alias("f"), F.col("name").alias("g"), F.col("known").alias("known_b"))
+    met = lambda d: d.select(F.col("node").alias("a"), "known", "name", "f", "g", "sg").join(target, ["f", "g"]).filter("a <> b")
+    close = (F.col("sg") >= GIVEN) | (F.levenshtein("name", "g") <= 1)
+    pairs = met(straight).filter(~(F.col("known") & F.col("known_b")) | close).select("a", "b").unionByName(met(crossed).select("a", "b"))
+    pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    # short forms of a given name begin with its first two letters
+    start = view.withColumn("start", F.substring("name", 1, 2))
+    short = start.select(F.col("node").alias("a"), "family", "start", F.col("name").alias("x")).join(start.select(F.col("node").alias("b"), "family", "start", F.col("name").alias("y")), ["family", "start"])
+    short = short.filter((F.col("a") < F.col("b")) & shortened(F.col("x"), F.col("y"))).select("a", "b").distinct()
+    side = lambda k: forms.select([F.col(c).alias(f"{c}_{k}") for c in ("node", "names", "family", "known", "confirmed")]).withColumnRenamed(f"node_{k}", k)
+    pairs = pairs.join(side("a"), "a").join(side("b"), "b")
 
     def verify(na: pd.Series, fa: pd.Series, nb: pd.Series, fb: pd.Series, known: pd.Series) -> pd.Series:
         return pd.Series([form_likeness(*x) for x in zip(na, fa, nb, fb, known)], dtype=float)
 
     apart = F.col("confirmed_a") & F.col("confirmed_b") & (F.col("family_a") != F.col("family_b"))
     score = F.pandas_udf(verify, "double").asNondeterministic()("names_a", "family_a", "names_b", "family_b", F.col("known_a") & F.col("known_b"))
-    good = pairs.filter(~apart).withColumn("s", score).filter(F.col("s") >= SIMILAR).select("a", "b")
-    return good.unionByName(good.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    good = pairs.filter(~apart).withColumn("s", score).filter(F.col("s") >= SIMILAR).select("a", "b").unionByName(short)
+    return good.unionByName(good.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
 
 
-def shortened(a: str, b: str) -> bool:
+def shortened(x: Column, y: Column) -> Column:
     """Whether one may be a short form of the other: a prefix, or a short word with the same first three letters."""
-    a, b = sorted((a, b), key=len)
-    return len(a) >= 2 and b.startswith(a) or len(a) <= 5 and a[:3] == b[:3] and len(a) >= 3
+    least = F.least(F.length(x), F.length(y))
+    return (least >= 2) & (F.startswith(x, y) | F.startswith(y, x)) | (least >= 3) & (least <= 5) & (F.substring(x, 1, 3) == F.substring(y, 1, 3))
 
 
 def form_likeness(names_a: list[str], family_a: str, names_b: list[str], family_b: str, known: bool) -> float:
@@ -297,15 +335,12 @@ def form_likeness(names_a: list[str], family_a: str, names_b: list[str], family_
     best = 0.0
     for a in names_a:
         for b in names_b:
-            near = a == b or sum(x != y for x, y in zip(a, b)) + abs(len(a) - len(b)) <= 1 or jaro_winkler(a, b) >= 0.93
-            short = family_a == family_b and shortened(a, b)
-            if known and not near and not short:
+            near = a == b or sum(x != y for x, y in zip(a, b)) + abs(len(a) - len(b)) <= 1 or jaro_winkler(a, b) >= GIVEN
+            if known and not near:
                 continue
             straight = min(jaro_winkler(a, b), jaro_winkler(family_a, family_b)) >= TOKEN
             crossed = min(jaro_winkler(a, family_b), jaro_winkler(family_a, b)) >= TOKEN
-            if short:
-                best = max(best, 0.95)
-            elif straight or crossed:
+            if straight or crossed:
                 best = max(best, monge_elkan([a, family_a], [b, family_b]))
     return best
 

@@ -93,3 +93,28 @@ def test_stars_of_a_long_chain(spark):
     edges = spark.createDataFrame([p for i in range(n - 1) for p in ((f"{i:03}", f"{i + 1:03}"), (f"{i + 1:03}", f"{i:03}"))], "a string, b string")
     assert {r.node: r.center for r in ps.star_clusters(nodes, edges).collect()} == {f"{i:03}": f"{i - i % 2:03}" for i in range(n)}
     assert {r.node: r.center for r in ps.star_clusters(nodes.limit(2), edges.limit(0)).collect()} == {"000": "000", "001": "001"}
+
+
+def test_leading_insertions_meet():
+    """A letter typed before a name: pairs meet at the rate that the collision curve tells for their likeness."""
+    r, bands, met, n = random.Random(7), ps.bands_for(), 0, 400
+    for _ in range(n):
+        w = "".join(r.choice("bcdfgklmnprstvz") + r.choice("aeiou") for _ in range(5))
+        a, b = ps.band_keys([w, r.choice("abcdefghklmnoprstuv") + w], bands, ps.ROWS)
+        met += bool(set(a) & set(b))
+    assert met >= 0.97 * n
+    for pair in (("ilse", "iles"), ("chloe", "chuoe"), ("ana", "nana"), ("bo", "o")):
+        a, b = ps.slip_keys(list(pair))
+        assert set(a) & set(b)
+
+
+def test_like_words_of_full_buckets(spark, monkeypatch):
+    r = random.Random(5)
+    words = sorted({"".join(r.choice("ab") + r.choice("aeio") for _ in range(4)) for _ in range(160)})
+    df = spark.createDataFrame([(w,) for w in words], "word string")
+    get = lambda: {(x.word, x.other) for x in ps.like_words(df).collect()}
+    whole = get()
+    monkeypatch.setattr(ps, "BUCKET", 7)
+    assert get() == whole and all((b, a) in whole for a, b in whole) and {(w, w) for w in words} <= whole
+    true = {(a, b) for a in words for b in words if ps.jaro_winkler(a, b) >= ps.TOKEN}
+    assert whole <= true and len(whole) >= 0.95 * len(true)
