@@ -10,7 +10,6 @@ from __future__ import annotations
 
 import bisect
 import re
-import sys
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -18,7 +17,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from codeweft.llm import syntax
-from codeweft.llm.grammars import grammar
 from codeweft.sources.lexers import LEXERS, LexError, Tokens
 from codeweft.session import spread
 
@@ -112,9 +110,64 @@ def condensed(text: str, language: str, t: Tokens) -> list[tuple]:
     return out
 
 
+def read_by_rules(rows: list[tuple], language: str) -> list[tuple]:
+    """The rows without those that no rule reads: the insides of brackets in which no function can begin, and of Python all but its def lines."""
+    kinds = [r[0] for r in rows]
+    n, close, stack = len(rows), {}, []
+    for i, k in enumerate(kinds):
+        if k in ("(", "[", "{"):
+            stack.append(i)
+        elif k in (")", "]", "}") and stack:
+            close[stack.pop()] = i
+    kind = lambda i: kinds[i] if i < n else ""
+    if language == "python":
+        keep: set[int] = set()
+        for i in (i for i, k in enumerate(kinds) if k == "def"):
+            j = i
+            while j < n and kinds[j] != ":":
+                keep.update((j, close.get(j, j)))
+                j = close.get(j, j) + 1
+            keep.update(range(j, min(n, j + 5)))
+        return [rows[i] for i in sorted(keep)]
+
+    def begins(i: int) -> bool:
+        """Whether a function may begin here."""
+        k = kinds[i]
+        if language in ("go", "rust"):
+            return k == ("func" if language == "go" else "fn")
+        if k == "name":
+            return kind(i + 1) in ("<", "?") or kind(i + 1) == "(" and kind(close.get(i + 1, n) + 1) in ("{", ":")
+        if k not in ("const", "let", "var"):
+            return k == "function"
+        value = kind(i + 3)
+        if kind(i + 2) != "=":
+            return kind(i + 2) == ":"
+        return value in ("<", "mod") or value == "(" and kind(close.get(i + 3, n) + 1) in ("=>", ":") or value == "name" and kind(i + 4) == "=>"
+
+    holds, starts = set(), [i for i in range(n) if begins(i)]
+    opened: list[int] = []
+    at = iter([*starts, n])
+    nxt = next(at)
+    for i, k in enumerate(kinds):
+        if i == nxt:
+            nxt = next(at, n)
+            for o in reversed(opened):
+                if o in holds:
+                    break
+                holds.add(o)
+        if i in close:
+            opened.append(i)
+        elif k in (")", "]", "}") and opened and close[opened[-1]] == i:
+            opened.pop()
+    out, i = [], 0
+    while i < n:
+        out.append(rows[i])
+        i = close[i] if i in close and i not in holds else i + 1
+    return out
+
+
 def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Token rows of the files that parse, in small batches."""
-    sys.setrecursionlimit(syntax.DEPTH)
     schema = pa.schema([("file_id", pa.int64()), ("copy", pa.int64()), ("language", pa.string()), ("i", pa.int32()), ("k", pa.string()), ("v", pa.string()), ("line", pa.int32()), ("end_line", pa.int32()), ("a", pa.int32()), ("b", pa.int32())])
     rows: list[tuple] = []
     batch = lambda: pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
@@ -122,11 +175,11 @@ def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for file_id, copy, language, text in zip(*(b[c].to_pylist() for c in ("file_id", "copy", "language", "content"))):
             try:
                 t = LEXERS[language](text)
-                if not grammar(language).parse(t.kinds, t.words, t.breaks)[0]:
+                if not syntax.parsed(t, language)[0]:
                     continue
-            except (LexError, RecursionError):
+            except LexError:
                 continue
-            rows += [(file_id, copy, language, i, *r) for i, r in enumerate(condensed(text, language, t))]
+            rows += [(file_id, copy, language, i, *r) for i, r in enumerate(read_by_rules(condensed(text, language, t), language))]
             if len(rows) >= BATCH_ROWS:
                 yield batch()
                 rows = []
@@ -251,18 +304,18 @@ def pairs(files: DataFrame, signatures: bool = True) -> DataFrame:
     """file_id, start_line, name, docstring and signature of every documented function.
 
     Files that do not parse, empty and null contents and other languages give no rows; equal rows of a file count once.
-    Several functions on one line are one row. Documentation that is missing, trivial or a note is left out.
+    Without signatures several functions on one line are one row. Documentation that is missing, trivial or a note is left out.
     """
     f = documented(token_rows(files))
     f = f.withColumn("docstring", F.trim(running_text(F.col("raw"), F.col("language"))))
     f = f.filter(telling(prose(F.col("docstring"), F.col("language")), F.col("name")))
     if not signatures:
         return f.select("file_id", "start_line").distinct()
-    f = f.dropDuplicates([*KEY, "start_line"])
+    f = f.dropDuplicates([*KEY, "a"])
     source = files.select("file_id", syntax.language_of(F.col("language"), F.col("file")).alias("language"), "content").distinct()
     source = source.select("file_id", F.xxhash64("language", "content").alias("copy"), "content")
     f = f.join(source, [*KEY])
-    cut = F.when(F.col("b") > F.col("a"), F.substring(F.col("content"), F.col("a") + 1, F.col("b") - F.col("a"))).otherwise(F.substring_index(F.substring(F.col("content"), F.col("a") + 1, F.lit(400)), "\n", 1))
+    cut = F.when(F.col("b") > F.col("a"), F.substring(F.col("content"), F.col("a") + 1, F.col("b") - F.col("a"))).otherwise(F.substring_index(F.substring(F.col("content"), F.col("a") + 1, F.length("content")), "\n", 1))
     return f.select("file_id", "start_line", "language", "name", F.trim(F.regexp_replace(cut, r"\s+", " ")).alias("signature"), "docstring")
 
 

@@ -15,13 +15,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from codeweft.llm.grammars import grammar
-from codeweft.sources.lexers import LEXERS, LexError
+from codeweft.sources.lexers import LEXERS, LexError, Tokens
 from codeweft.session import spread
 
 #: File extensions of the languages.
 EXTENSIONS = {"py": "python", "ts": "typescript", "js": "javascript", "go": "go", "rs": "rust", "md": "markdown"}
-#: Nested calls a worker may make for one file; deeper code is reported as such.
-DEPTH = 100_000
+#: Rules that may be open at once for each token; a parse can nest no deeper than its tokens, and its frames are on the heap.
+FRAMES = 64
 ERROR = "struct<position:int,line:int,token:string,cause:string>"
 MARKER = re.compile(r"^(?:<{7}|={7}|>{7}|\|{7})(?: |\r?$)", re.M)
 
@@ -51,18 +51,22 @@ def cause_of(text: str, at: int, said: str) -> str:
     return said
 
 
+def parsed(t: Tokens, language: str) -> tuple[bool, int]:
+    """Whether the tokens are a sentence of the language, and the furthest token; any depth of nesting is allowed."""
+    sys.setrecursionlimit(max(sys.getrecursionlimit(), 10_000 + FRAMES * len(t.kinds)))
+    return grammar(language).parse(t.kinds, t.words, t.breaks)
+
+
 def check(text: str, language: str) -> tuple | None:
     """None for a valid file, else position, line, token and cause of the furthest failure."""
     try:
         t = LEXERS[language](text)
-        ok, far = grammar(language).parse(t.kinds, t.words, t.breaks)
+        ok, far = parsed(t, language)
         if ok:
             return None
         at, token, said = t.starts[far], t.words[far] or t.kinds[far], "unexpected token"
     except LexError as e:
         at, token, said = e.at, text[e.at : e.at + 1], e.cause
-    except RecursionError:
-        at, token, said = 0, "", "nested too deeply"
     return at, len(re.findall(r"\r\n|\r|\n", text[:at])) + 1, token[:40], cause_of(text, at, said)
 
 
@@ -70,7 +74,6 @@ def errors(content: Column, language: Column) -> Column:
     """Struct of the furthest failure, its fields null where the content parses."""
 
     def judge(contents: pd.Series, languages: pd.Series) -> pd.DataFrame:
-        sys.setrecursionlimit(DEPTH)
         rows = [check(c, x) if c and x in LEXERS else None for c, x in zip(contents, languages)]
         return pd.DataFrame([r or (None, None, None, None) for r in rows], columns=["position", "line", "token", "cause"]).astype({"position": "Int32", "line": "Int32"})
 

@@ -116,5 +116,8 @@ def test_like_words_of_full_buckets(spark, monkeypatch):
     whole = get()
     monkeypatch.setattr(ps, "BUCKET", 7)
     assert get() == whole and all((b, a) in whole for a, b in whole) and {(w, w) for w in words} <= whole
-    true = {(a, b) for a in words for b in words if ps.jaro_winkler(a, b) >= ps.TOKEN}
-    assert whole <= true and len(whole) >= 0.95 * len(true)
+    grams = lambda w: {f"^^{w}$$"[k : k + ps.Q] for k in range(len(w) + 2)}
+    like = lambda a, b: len(grams(a) & grams(b)) / len(grams(a) | grams(b))
+    near = {(a, b) for a in words for b in words if ps.jaro_winkler(a, b) >= ps.TOKEN}
+    true = {p for p in near if like(*p) >= ps.LIKE}
+    assert whole <= near and len(whole & true) >= ps.RECALL * len(true)

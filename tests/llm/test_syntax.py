@@ -67,3 +67,12 @@ def test_frame(spark):
     got = {(r.repo, r.language): (r.files, r.failed, r.rate) for r in syntax.rates(df).collect()}
     assert got == {("a/b", "python"): (3, 2, 2 / 3), ("a/b", "javascript"): (1, 0, 0.0), ("a/b", "rust"): (1, 0, 0.0)}
     assert syntax.found(df.limit(0)).collect() == []
+
+
+def test_depth_is_not_bounded():
+    """Valid code is valid however deep it nests, and a fault at its end is found there."""
+    deep = 30_000
+    text = "const a = " + "[" * deep + "]" * deep + ";\n"
+    assert syntax.check(text, "javascript") is None
+    at, _, _, _ = syntax.check(text + "let = = 1;\n", "javascript")
+    assert at > len(text)
