@@ -104,7 +104,7 @@ def language_of(language: Column, path: Column) -> Column:
 def strip_focus(path: Column, focus: str) -> Column:
     """Path below a folder; others are left alone (FN-18)."""
     f = focus.rstrip("/")
-    return F.when(path.startswith(f + "/"), F.substring(path, len(f) + 2, 1_000_000)).otherwise(path)
+    return F.when(path.startswith(f + "/"), F.substring(path, F.lit(len(f) + 2), F.length(path))).otherwise(path)
 
 
 def common_prefix(paths: Column) -> Column:
@@ -140,9 +140,17 @@ def test_candidates(path: Column) -> Column:
     )
 
 
+# Patterns of import styles, error styles and annotated signatures.
+ESM, CJS = r"(?m)^import\s", r"require\s*\("
+THROWN, RESULT = r"throw\s+new\s+\w*Error", r"Result<|\{\s*ok:\s*(?:true|false)"
+ANNOTATED = r"(?:\)|=>)\s*(?::|->)\s*\w+"
+#: Errors as second values: also a named result list and a result list before a body.
+ERROR_RETURN = r"\)\s*:\s*\([^)]*,\s*error\)|\([^()]*,\s*error\)\s*\{"
+
+
 def import_count(c: Column) -> tuple[Column, Column]:
     """Counts of module imports and of require calls (FN-22)."""
-    return F.regexp_count(c, F.lit(r"(?m)^import\s")), F.regexp_count(c, F.lit(r"require\s*\("))
+    return F.regexp_count(c, F.lit(ESM)), F.regexp_count(c, F.lit(CJS))
 
 
 def import_style(c: Column) -> Column:
@@ -152,14 +160,14 @@ def import_style(c: Column) -> Column:
 
 def error_style(c: Column) -> Column:
     """How errors are told: thrown, as results, as second values, mixed or unknown (FN-23)."""
-    kinds = [F.regexp_count(c, F.lit(p)) for p in (r"throw\s+new\s+\w*Error", r"Result<|\{\s*ok:\s*(?:true|false)", r"\)\s*:\s*\([^)]*,\s*error\)|\([^()]*,\s*error\)\s*\{")]
+    kinds = [F.regexp_count(c, F.lit(p)) for p in (THROWN, RESULT, ERROR_RETURN)]
     used = sum((k > 0).cast("int") for k in kinds)
     return F.when(used == 0, "unknown").when(used > 1, "mixed").when(kinds[0] > 0, "throw").when(kinds[1] > 0, "result").otherwise("error-return")
 
 
 def annotated(signature: Column) -> Column:
     """Whether a signature tells its result type (FN-24)."""
-    return signature.rlike(r"(?:\)|=>)\s*(?::|->)\s*\w+")
+    return signature.rlike(ANNOTATED)
 
 
 def coverage_label(ratio: Column) -> Column:
@@ -197,6 +205,20 @@ def human_bytes(c: Column) -> Column:
     return F.when(c < 1024, F.concat(c.cast("bigint").cast("string"), F.lit(" B"))).when(c < 1024**2, size(1, "KB")).when(c < 1024**3, size(2, "MB")).otherwise(size(3, "GB"))
 
 
+def human_duration(ms: Column) -> Column:
+    """FN-36: milliseconds, seconds with two decimals, or minutes and seconds."""
+    minutes = F.concat(F.floor(ms / 60000).cast("string"), F.lit("m "), F.floor(ms / 1000 % 60).cast("string"), F.lit("s"))
+    return F.when(ms < 1000, F.concat(ms.cast("string"), F.lit("ms"))).when(ms < 60000, F.format_string("%.2fs", ms / 1000)).otherwise(minutes)
+
+
+def human_age(at: Column, now: Column) -> Column:
+    """FN-36: minutes, hours or days before now, the date from a week on."""
+    m = F.floor((F.unix_micros(now.cast("timestamp")) - F.unix_micros(at.cast("timestamp"))) / 60_000_000)
+    said = lambda n, unit: F.concat(n.cast("string"), F.lit(f" {unit}"), F.when(n == 1, "").otherwise("s"), F.lit(" ago"))
+    hours, days = F.floor(m / 60), F.floor(m / 1440)
+    return F.when(m < 1, "just now").when(m < 60, said(m, "minute")).when(m < 1440, said(hours, "hour")).when(m < 10080, said(days, "day")).otherwise(F.date_format(at, "yyyy-MM-dd"))
+
+
 def source_path(c: Column) -> Column:
     """Path of the source a built file stands for (SRC-10): dist to src, declaration and script files to their source."""
     p = F.regexp_replace(c, "(^|/)dist/", "$1src/")
@@ -215,9 +237,14 @@ def go_type_parameters(signature: Column) -> Column:
     return F.when(inside == "", F.array().cast("array<string>")).otherwise(F.transform(F.split(inside, ","), lambda x: F.trim(x)))
 
 
+# Marks of generated files, case and all.
+GO_GENERATED = ("Code generated", "DO NOT EDIT")
+PY_GENERATED = ("# Generated by", "# DO NOT EDIT", "# Auto-generated")
+
+
 def is_generated(path: Column, content: Column) -> Column:
     """Files that scanners of Go and Python leave out as generated or as migrations (SRC-12, SRC-22)."""
     head = F.array_join(F.slice(F.split(content, "\n"), 1, 3), "\n")
-    go = F.substring_index(content, "\n", 1).rlike("(?i)code generated|do not edit")
-    py = path.rlike(r"_pb2(?:_grpc)?\.py$|\.gen\.py$|/migrations/|/versions/") | head.rlike("(?i)@generated|generated by|do not edit")
+    go = F.substring_index(content, "\n", 1).rlike("|".join(GO_GENERATED))
+    py = path.rlike(r"_pb2(?:_grpc)?\.py$|/migrations/|/versions/") | head.rlike("|".join(PY_GENERATED))
     return F.when(extension(path) == "go", go).when(extension(path) == "py", py).otherwise(False)

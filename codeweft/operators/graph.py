@@ -44,8 +44,13 @@ def call_edges(c: DataFrame) -> DataFrame:
 
 
 def dependency_edges(c: DataFrame) -> DataFrame:
-    """Weighted edges between files, the root of the number of calls; no loops (AGG-09)."""
-    return call_edges(c).filter("src <> dst").groupBy("src", "dst").agg(F.sqrt(F.count("*").cast("double")).alias("weight"))
+    """Weighted edges between files of the calls whose file is stated (AGG-09)."""
+    return weighted(call_edges(c))
+
+
+def weighted(calls: DataFrame) -> DataFrame:
+    """src, dst and weight, the root of the number of calls; no loops (AGG-09)."""
+    return calls.filter("src <> dst").groupBy("src", "dst").agg(F.sqrt(F.count("*").cast("double")).alias("weight"))
 
 
 def graph_nodes(edges: DataFrame, sources: DataFrame | None = None) -> DataFrame:

@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 import ast
-import re
+from collections import Counter
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from codeweft.functions import text as T
+from codeweft.session import spread
+from codeweft.sources.lexers import LEXERS, LexError, Tokens
+from codeweft.sources.scanner import partners
 
 
 def latest(files: DataFrame) -> DataFrame:
@@ -59,43 +62,195 @@ def tested(files: DataFrame) -> DataFrame:
     return src.join(have, ["repo", "file"], "left").groupBy("repo", "ext").agg(F.count("*").alias("files"), F.count_if(F.col("has")).alias("tested"))
 
 
-# Rules by language; Python's are read from its syntax tree, the others are expressions.
-SCRIPT_RULES = {
-    "try-catch": r"\btry\s*\{", "throw": r"\bthrow\b", "promise-catch": r"\.catch\s*\(", "await": r"\bawait\b", "dynamic-import": r"\bimport\s*\(", "import": r"(?m)^import\b", "require": r"\brequire\s*\(",
-    "re-export": r"(?m)^export\s+(?:\*|\{[^}]*\})\s*from\b", "async-function": r"\basync\s+(?:function|\()", "arrow-function": r"=>", "class": r"(?m)^(?:export\s+)?(?:default\s+)?(?:abstract\s+)?class\b", "type-annotation": r"\)\s*:\s*\w",
-}
-RULES = {
-    "typescript": SCRIPT_RULES, "javascript": SCRIPT_RULES,
-    "go": {"error-check": r"\bif\b[^\n{]*\berr\s*!=\s*nil", "defer": r"\bdefer\b", "goroutine": r"\bgo\s+\w+\(", "panic": r"\bpanic\("},
-    "rust": {"question-mark": r"\?;", "unwrap": r"\.unwrap\(\)", "result-type": r"\bResult<", "match": r"\bmatch\b", "unsafe": r"\bunsafe\b"},
-}
-PYTHON_RULES = {"try": ast.Try, "raise": ast.Raise, "with": ast.With, "async-def": ast.AsyncFunctionDef, "lambda": ast.Lambda, "comprehension": (ast.ListComp, ast.SetComp, ast.DictComp, ast.GeneratorExp), "import": (ast.Import, ast.ImportFrom), "decorator": None, "annotated-def": None}
+# The rules of each language.
+SCRIPT_RULES = (
+    "try-catch", "throw", "promise-catch", "await-in-try", "error-class", "dynamic-import", "re-export", "require",
+    "arrow-return-type", "function-return-type", "arrow-total", "function-total",
+)
+PYTHON_RULES = (
+    "try-except", "raise", "except-clause", "import-module", "from-import", "relative-import", "typed-parameter",
+    "py-function-return-type", "py-function-total",
+)
+GO_RULES = ("go-if-err", "go-defer", "go-goroutine", "go-channel-send")
+RUST_RULES = ("rust-try-operator", "rust-match", "rust-unsafe-block", "rust-impl-block", "rust-trait-def")
 
 
 def python_counts(text: str) -> dict[str, int]:
-    try:
-        nodes = list(ast.walk(ast.parse(text)))
-    except (SyntaxError, ValueError, RecursionError):
-        return {}
-    out = {k: sum(isinstance(n, t) for n in nodes) for k, t in PYTHON_RULES.items() if t}
+    """Rules of Python over its syntax tree."""
+    nodes = list(ast.walk(ast.parse(text)))
+    kinds = Counter(type(n) for n in nodes)
+    froms = [n for n in nodes if isinstance(n, ast.ImportFrom) and n.module != "__future__"]
     defs = [n for n in nodes if isinstance(n, (ast.FunctionDef, ast.AsyncFunctionDef))]
-    out["decorator"] = sum(len(n.decorator_list) for n in defs)
-    out["annotated-def"] = sum(n.returns is not None for n in defs)
+    typed = 0
+    for a in (n.args for n in defs):
+        plain = [*a.posonlyargs, *a.args]
+        plain = plain[: len(plain) - len(a.defaults)] + [x for x, d in zip(a.kwonlyargs, a.kw_defaults) if d is None]
+        typed += sum(x is not None and x.annotation is not None for x in (*plain, a.vararg, a.kwarg))
+    counts = (
+        kinds[ast.Try] + kinds[ast.TryStar], kinds[ast.Raise], kinds[ast.ExceptHandler], kinds[ast.Import], len(froms),
+        sum(n.level > 0 for n in froms), typed, sum(n.returns is not None for n in defs), len(defs),
+    )
+    return dict(zip(PYTHON_RULES, counts))
+
+
+def script_counts(t: Tokens) -> dict[str, int]:
+    """Rules of TypeScript and JavaScript over tokens: strings and comments hold none."""
+    k, w, close = t.kinds, t.words, partners(t)
+    opens = {b: a for a, b in close.items()}
+    out = dict.fromkeys(SCRIPT_RULES, 0)
+    value = ("=", "(", ",", "return", ":", "=>", "[", "?")  # what stands before an expression
+
+    def typed(i: int) -> bool:
+        """Whether the bracket at i is a list of parameters with a result type before an arrow or a body."""
+        j = close.get(i, len(k)) + 1
+        if j >= len(k) or k[j] != ":":
+            return False
+        j, depth = j + 1, 0
+        while j < len(k) and k[j] not in ("=>", ";", "=", ")", "]", "}", "EOF") and (depth or k[j] != ","):
+            if k[j] == "{" and k[j - 1] not in (":", "|", "&", "<", ","):
+                return True
+            depth += (k[j] == "<") - (k[j] == ">")
+            j = close.get(j, j) + 1
+        return j < len(k) and k[j] == "=>"
+
+    for i, x in enumerate(k[:-1]):
+        before, after = k[i - 1] if i else "", k[i + 1]
+        if x == "try" and after == "{":
+            out["try-catch"] += 1
+            out["await-in-try"] += awaited(t, i + 2, close.get(i + 1, i + 1), close)
+        elif x == "throw":
+            out["throw"] += 1
+        elif x == "NAME" and w[i] == "catch" and before in (".", "?.") and after == "(":
+            out["promise-catch"] += 1
+        elif x == "class" and before not in value and after == "NAME":
+            j = i + 2
+            while k[j] not in ("{", "extends", "EOF"):
+                j += 1
+            out["error-class"] += k[j] == "extends"
+        elif x == "import" and after == "(":
+            out["dynamic-import"] += 1
+        elif x == "export":
+            j = i + 1 + (w[i + 1] == "type")
+            j = close.get(j, j) + 1 if k[j] == "{" else j + 1 + 2 * (w[j + 1] == "as") if k[j] == "*" else i
+            out["re-export"] += j > i and w[j] == "from" and k[j + 1] == "STR"
+        elif x == "NAME" and w[i] == "require" and after == "(" and before not in (".", "?.", "function"):
+            out["require"] += 1
+        elif x == "function" and after == "NAME" and before not in value:
+            out["function-total"] += 1
+            j = next((j for j in range(i + 2, len(k)) if k[j] in ("(", "{", "EOF")), i)
+            out["function-return-type"] += k[j] == "(" and typed(j)
+        elif x == "=>":
+            start = opens.get(i - 1, i - 1)
+            known = k[start - 1] if start else ""
+            named = start >= 3 and (w[start - 3] == "type" or w[start - 2] == "type")
+            out["arrow-total"] += not (before == ")" and (known in (":", "|", "&", "<") or known == "=" and named)) and (before == ")" or before == "NAME" and known not in (":", "|", "&", "."))
+        if x == "(" and before in (*value, "async", "{", ";", "}", "NAME") and (before != "NAME" or w[i - 1] == "async") and typed(i):
+            j = close[i] + 1
+            while k[j] not in ("=>", ";", "EOF") and not (k[j] == "{" and k[j - 1] not in (":", "|", "&", "<", ",")):
+                j = close.get(j, j) + 1
+            if k[j] == "=>":
+                out["arrow-return-type"] += 1
+                out["arrow-total"] += k[j - 1] != ")" and (k[j - 1] != "NAME" or k[opens.get(j - 1, j - 1) - 1] in (":", "|", "&", "."))
+    return out
+
+
+def awaited(t: Tokens, first: int, last: int, close: dict[int, int]) -> int:
+    """Declarations between two tokens, at their own level, whose value is awaited."""
+    k, found, declared, i = t.kinds, 0, False, first
+    while i < last:
+        if k[i] in ("const", "let"):
+            declared = True
+        elif k[i] == ";" or t.breaks[i] and k[i - 1] not in (",", "=", "const", "let"):
+            declared = False
+        found += declared and k[i] == "=" and k[i + 1] == "await"
+        i = close.get(i, i) + 1
+    return found
+
+
+def go_counts(t: Tokens) -> dict[str, int]:
+    """Rules of Go over tokens."""
+    k, w, close = t.kinds, t.words, partners(t)
+    out = dict.fromkeys(GO_RULES, 0)
+    for i, x in enumerate(k[:-1]):
+        if x == "if":
+            j = at = i + 1
+            joined = False
+            while k[j] not in ("{", "EOF"):
+                if k[j] == ";":
+                    at, joined = j + 1, False
+                joined |= k[j] in ("&&", "||")
+                j = close.get(j, j) + 1
+            out["go-if-err"] += not joined and j - at >= 3 and w[j - 1] == "nil" and k[j - 2] in ("==", "!=")
+        elif x in ("defer", "go"):
+            out["go-defer" if x == "defer" else "go-goroutine"] += 1
+        elif x == "<-" and i and k[i - 1] in ("NAME", ")", "]") and k[i + 1] != "chan":
+            out["go-channel-send"] += 1
+    return out
+
+
+def rust_counts(t: Tokens) -> dict[str, int]:
+    """Rules of Rust over tokens."""
+    k = t.kinds
+    out = dict.fromkeys(RUST_RULES, 0)
+    for i, x in enumerate(k[:-1]):
+        before = k[i - 1] if i else ";"
+        out["rust-try-operator"] += x == "?" and before in (")", "]", "}", "NAME", "await", "self", "NUM", "STR")
+        out["rust-match"] += x == "match"
+        out["rust-unsafe-block"] += x == "unsafe" and k[i + 1] == "{"
+        out["rust-impl-block"] += x == "impl" and before in (";", "{", "}", "]", "unsafe", "default")
+        out["rust-trait-def"] += x == "trait" and k[i + 1] == "NAME"
     return out
 
 
+COUNTERS = {"typescript": script_counts, "javascript": script_counts, "go": go_counts, "rust": rust_counts}
+
+
+def counted(text: str | None, language: str | None) -> dict[str, int]:
+    """Rule matches of a text; blank texts and those that cannot be read have none."""
+    if not text or not text.strip() or language not in LEXERS:
+        return {}
+    try:
+        return python_counts(text) if language == "python" else COUNTERS[language](LEXERS[language](text))
+    except (SyntaxError, ValueError, RecursionError, LexError):
+        return {}
+
+
 def rule_counts(files: DataFrame) -> DataFrame:
-    """repo, file and the matches of each rule of its language (AGG-28): expressions run in the engine, Python's over the
-    syntax tree; files that do not parse and blank ones have an empty map."""
+    """repo, file and the matches of each rule of its language (AGG-28, SCH-15), over the tokens or the syntax tree.
 
-    def count(content: pd.Series) -> pd.Series:
-        return pd.Series([python_counts(c) if c and re.search(r"\S", c) else {} for c in content], dtype=object)
+    Files that cannot be read and blank ones have an empty map. One narrow stage.
+    """
 
-    ext = T.lookup(T.EXTENSIONS, T.extension(F.col("file")))
-    rules: Column = F.when(ext == "python", F.pandas_udf(count, "map<string,int>")("content"))
-    for language, named in RULES.items():
-        rules = rules.when(ext == language, F.create_map(*[x for k, p in named.items() for x in (F.lit(k), F.regexp_count(F.col("content"), F.lit(p)))]))
-    return files.filter(ext.isin("python", *RULES)).select("repo", "file", F.when(F.col("content").rlike(r"\S"), rules).otherwise(F.create_map().cast("map<string,int>")).alias("matches"))
+    def count(content: pd.Series, language: pd.Series) -> pd.Series:
+        return pd.Series([counted(c, x) for c, x in zip(content, language)], dtype=object)
+
+    f = files.withColumn("language", T.lookup(T.EXTENSIONS, T.extension(F.col("file")))).filter(F.col("language").isin(*LEXERS))
+    return spread(f).select("repo", "file", F.pandas_udf(count, "map<string,int>").asNondeterministic()("content", "language").alias("matches"))
+
+
+def styled(files: DataFrame, signatures: DataFrame) -> DataFrame:
+    """Error style, import style and type coverage from rule matches and expressions together (FN-25). signatures: repo, file, n, annotated.
+
+    A throw with a try, a caught promise or a result type is mixed; dynamic imports, re-exports and requires count as
+    imports of their kind, only dynamic ones are added to the number; of annotated and all functions the larger counts.
+    Without matches the expressions stand alone.
+    """
+    r = rule_counts(files).withColumnRenamed("matches", "m")
+    n = lambda rule: F.coalesce(F.try_element_at("m", F.lit(rule)), F.lit(0))
+    j = files.select("repo", "file", "content").join(r, ["repo", "file"]).join(signatures, ["repo", "file"], "left")
+    c, told = F.col("content"), F.size("m") > 0
+    error, style, (esm, cjs) = T.error_style(c), T.import_style(c), T.import_count(c)
+    also = (n("try-catch") > 0) | (n("promise-catch") > 0) | (error == "result")
+    by_esm = F.when(style.isin("esm", "mixed"), esm + cjs).otherwise(0) + n("dynamic-import") + n("re-export")
+    is_esm, is_cjs = (by_esm > 0) | style.isin("esm", "mixed"), (n("require") > 0) | style.isin("cjs", "mixed")
+    annotated = F.greatest(F.coalesce("annotated", F.lit(0)), n("arrow-return-type") + n("function-return-type"))
+    total = F.greatest(F.coalesce("n", F.lit(0)), n("arrow-total") + n("function-total"))
+    return j.select(
+        "repo", "file", F.when(told & (n("throw") > 0), F.when(also, "mixed").otherwise("throw")).otherwise(error).alias("error_style"),
+        F.when(told & ((by_esm > 0) | (n("require") > 0)), F.when(is_esm & is_cjs, "mixed").when(is_esm, "esm").otherwise("cjs")).otherwise(style).alias("import_style"),
+        (esm + cjs + F.when(told & ((by_esm > 0) | (n("require") > 0)), n("dynamic-import")).otherwise(0)).cast("bigint").alias("imports"),
+        T.coverage_label(F.coalesce(F.try_divide(F.when(told, annotated).otherwise(F.coalesce("annotated", F.lit(0))), F.when(told, total).otherwise(F.coalesce("n", F.lit(0)))), F.lit(0.0))).alias("type_coverage"),
+    )
 
 
 def compared(facts_: DataFrame, peers: DataFrame) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from codeweft.functions import text as T
+
 
 def calls(c: DataFrame) -> DataFrame:
     """The reverse index: one row per call, keyed by the callee (JN-01, PRJ-08).
@@ -67,3 +69,33 @@ def resolved(hits: DataFrame, asked: str) -> DataFrame:
     exact = (F.col("name") == F.col(asked)) | F.endswith("name", F.concat(F.lit("."), F.col(asked)))
     w = Window.partitionBy(asked).orderBy(F.when(exact, 0).otherwise(1), "rank")
     return hits.withColumn("r", F.row_number().over(w)).filter("r = 1").drop("r")
+
+
+def resolved_by_service(hits: DataFrame, asked: str, limit: int = 10) -> DataFrame:
+    """Best of the first hits per query: one whose name is the asked one or whose path or signature holds it, else the first (JN-16)."""
+    fits = (F.col("name") == F.col(asked)) | F.contains("path", F.col(asked)) | F.contains("signature", F.col(asked))
+    first = hits.filter(F.col("rank") <= limit)
+    w = Window.partitionBy(asked).orderBy(F.when(F.coalesce(fits, F.lit(False)), 0).otherwise(1), "rank")
+    return first.withColumn("r", F.row_number().over(w)).filter("r = 1").drop("r")
+
+
+def resolved_callees(c: DataFrame) -> DataFrame:
+    """Calls with the file of the callee where it is known or can be told (SRC-10): ord, pos, src, callee, dst and way.
+
+    A callee with a file keeps it, built paths of other files made source paths. Else it is looked up by its last dotted part among the
+    components of the repository: its own file goes first, then a file that an import of the caller names, then the only
+    file that has the name. Others have no dst.
+    """
+    k = c.select("ord", "repo", "file", "path", "imports", F.posexplode("callees").alias("pos", "e")).filter("e.name IS NOT NULL")
+    k = k.withColumn("name", F.substring_index(F.regexp_replace("e.name", "^new ", ""), ".", -1))
+    known = k.filter("e.file IS NOT NULL").select("ord", "pos", F.col("path").alias("src"), F.col("e.name").alias("callee"), F.concat_ws("/", "repo", F.when(F.col("e.file") == F.col("file"), F.col("file")).otherwise(T.source_path(F.col("e.file")))).alias("dst"), F.lit("stated").alias("way"))
+    defs = c.filter("name IS NOT NULL AND type <> 'documentation'").select("repo", F.substring_index("name", ".", -1).alias("name"), F.col("path").alias("dst"), F.col("file").alias("there")).distinct()
+    module = F.regexp_replace(F.regexp_replace("there", r"\.[^./]*$", ""), r"/(?:index|__init__|mod)$", "")
+    tail = lambda i: F.regexp_replace(F.regexp_replace(i, r"^(?:\.{1,2}/)+|^@[^/]*/|\.(?:js|ts|mjs|cjs)$", ""), "[.:]+", "/")
+    named = F.exists("imports", lambda i: F.endswith(F.concat(F.lit("/"), module), F.concat(F.lit("/"), tail(i))))
+    way = F.when(F.col("there") == F.col("file"), 0).when(F.coalesce(named, F.lit(False)), 1).otherwise(2)
+    option = k.filter("e.file IS NULL").join(defs, ["repo", "name"]).select("ord", "pos", "dst", way.alias("w"))
+    best = option.groupBy("ord", "pos").agg(F.min(F.struct("w", "dst")).alias("m"), F.count("*").alias("n")).filter("m.w < 2 OR n = 1")
+    rest = k.filter("e.file IS NULL").join(best, ["ord", "pos"], "left")
+    label = F.when(F.col("m.w") == 0, "own file").when(F.col("m.w") == 1, "import").when(F.col("m.w") == 2, "only file")
+    return known.unionByName(rest.select("ord", "pos", F.col("path").alias("src"), F.col("e.name").alias("callee"), F.col("m.dst").alias("dst"), label.alias("way")))

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from codeweft.functions import text as T
-from codeweft.session import cut
+from codeweft.session import cut, staged
 
 K1, B, RRF = 1.2, 0.75, 60
 TOKEN = r"([\p{L}\p{N}_]+)"
@@ -23,10 +23,11 @@ def tokens(c: Column) -> Column:
 def bm25(docs: DataFrame, key: str, body: str, query: str) -> DataFrame:
     """key and score of the documents that hold a word of the query (SCH-02).
 
-    One scan counts tokens, one aggregation gives the statistics, only tokens of the query are ever exploded.
+    One scan splits the texts; what is kept of each, its length and the words of the query in it, is staged and serves the
+    statistics and the counts.
     """
     terms = sorted(set(re.findall(r"[^\W]+", query.lower())))
-    d = docs.select(key, tokens(F.col(body)).alias("t")).select(key, F.size("t").alias("dl"), F.filter("t", lambda x: x.isin(terms)).alias("hits"))
+    d = staged(docs.select(key, tokens(F.col(body)).alias("t")).select(key, F.size("t").alias("dl"), F.filter("t", lambda x: x.isin(terms)).alias("hits")), "tokens")
     stats = d.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
     tf = d.filter(F.size("hits") > 0).select(key, "dl", F.explode("hits").alias("term")).groupBy(key, "dl", "term").agg(F.count("*").alias("tf"))
     df = tf.groupBy("term").agg(F.count("*").alias("df"))

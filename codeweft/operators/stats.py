@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from codeweft.functions import text as T
+from codeweft.session import cut
 
 #: Lines of a component, 0 where they are unknown.
 LINES = "sum(coalesce(greatest(end_line - start_line + 1, 0), 0))"
@@ -84,9 +85,15 @@ def markdown_table(d: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------- change frequency
 
 
+def delivered_once(commits: DataFrame) -> DataFrame:
+    """Each commit of a repository once, as it was delivered first; of deliveries at one time the one of the least hash."""
+    rest = [c for c in commits.columns if c not in ("repo", "hash")]
+    return commits.groupBy("repo", "hash").agg(F.min_by(F.struct(*rest), F.struct("ingested_at", F.xxhash64(*rest))).alias("c")).select("repo", "hash", "c.*")
+
+
 def file_changes(commits: DataFrame) -> DataFrame:
     """One row per commit and touched file; commits that were delivered twice count once (AGG-05 input)."""
-    c = commits.select("repo", "hash", "committed_at", F.col("author.email").alias("author"), "files").dropDuplicates(["repo", "hash"])
+    c = delivered_once(commits.select("repo", "hash", "committed_at", "ingested_at", F.col("author.email").alias("author"), "files"))
     return c.select("repo", "hash", "committed_at", F.lower("author").alias("author"), F.explode("files").alias("f")).select(
         F.concat_ws("/", "repo", "f.path").alias("path"), "repo", "hash", "committed_at", "author", F.col("f.additions").alias("additions"), F.col("f.deletions").alias("deletions"), F.col("f.status").alias("status"),
     )
@@ -115,19 +122,38 @@ def directory_frequency(changes: DataFrame, now) -> DataFrame:
 def commit_stats(commits: DataFrame) -> DataFrame:
     """Added and deleted lines and files of each commit, inside its row (AGG-27)."""
     total = lambda x: F.aggregate(F.coalesce("files", F.array().cast("array<struct<path:string,previous_path:string,status:string,additions:int,deletions:int>>")), F.lit(0).cast("bigint"), lambda a, f: a + F.coalesce(f[x], F.lit(0)))
-    return commits.dropDuplicates(["repo", "hash"]).select("repo", "hash", total("additions").alias("additions"), total("deletions").alias("deletions"), F.greatest(F.size("files"), F.lit(0)).cast("bigint").alias("files"))
+    return delivered_once(commits.select("repo", "hash", "ingested_at", "files")).select("repo", "hash", total("additions").alias("additions"), total("deletions").alias("deletions"), F.greatest(F.size("files"), F.lit(0)).cast("bigint").alias("files"))
 
 
 # ---------------------------------------------------------------- requests
 
 
 def request_metrics(requests: DataFrame, *group: str) -> DataFrame:
-    """Requests, failures, rounded mean and nearest-rank percentiles of the duration (AGG-16); a row of zeros when empty."""
-    pct = lambda p: F.coalesce(F.expr(f"percentile_disc({p}) WITHIN GROUP (ORDER BY duration)"), F.lit(0.0)).cast("double")
-    return requests.groupBy(*group).agg(
+    """Requests, failures, rounded mean and nearest-rank percentiles of the duration (AGG-16); a row of zeros when empty.
+
+    Percentiles are read from counts of equal durations, sorted by range over all tasks: a value's rank is its place in
+    its partition and the rows of the partitions and groups before, of which there is one sum each. No task holds the
+    values of a group.
+    """
+    ranks = {"p50": 0.5, "p95": 0.95, "p99": 0.99}
+    g = list(group)
+    out = requests.groupBy(*g).agg(
         F.count("*").alias("total"), F.count_if("failed").alias("failed"), F.count_if(~F.col("failed")).alias("success"),
-        F.floor(F.coalesce(F.avg("duration"), F.lit(0.0)) + 0.5).cast("bigint").alias("mean"), pct(0.5).alias("p50"), pct(0.95).alias("p95"), pct(0.99).alias("p99"),
+        F.floor(F.coalesce(F.avg("duration"), F.lit(0.0)) + 0.5).cast("bigint").alias("mean"),
     )
+    counts = requests.filter("duration IS NOT NULL").groupBy(*g, "duration").agg(F.count("*").alias("n")).orderBy(*g, "duration")
+    placed = cut(counts.withColumn("p", F.spark_partition_id()))
+    sums = lambda keys: placed.groupBy(*keys).agg(F.sum("n").alias("rows"))
+    parts = sums(["p"]).select("p", (F.sum("rows").over(Window.orderBy("p")) - F.col("rows")).alias("before"))  # one row a partition
+    groups = sums(g).withColumn("below", F.sum("rows").over(Window.orderBy(*g)) - F.col("rows") if g else F.lit(0))  # one row a group
+    w = Window.partitionBy("p").orderBy(*g, "duration")
+    run = placed.withColumn("local", F.sum("n").over(w)).join(F.broadcast(parts), "p")
+    same = lambda x, y: F.expr(" AND ".join(f"{x}.{c} <=> {y}.{c}" for c in g))
+    run = run.alias("r").join(groups.alias("s"), same("r", "s")) if g else run.alias("r").crossJoin(F.broadcast(groups).alias("s"))
+    run = run.select("r.*", "s.rows", (F.col("local") + F.col("before") - F.col("below")).alias("upto"))
+    at = run.groupBy(*g).agg(*[F.min(F.when(F.col("upto") >= F.ceil(F.lit(q) * F.col("rows")), F.col("duration"))).alias(c) for c, q in ranks.items()])
+    j = out.alias("o").join(at.alias("a"), same("o", "a"), "left") if g else out.alias("o").crossJoin(F.broadcast(at).alias("a"))
+    return j.select("o.*", *[F.coalesce(f"a.{c}", F.lit(0.0)).cast("double").alias(c) for c in ranks])
 
 
 def last_n(rows: DataFrame, n: int, *order) -> DataFrame:

@@ -46,7 +46,32 @@ def with_frequency(nodes: DataFrame, frequency: DataFrame) -> DataFrame:
     return nodes.join(frequency, "path", "left").na.fill(0, ["last_30", "last_90"])
 
 
-def rendered(nodes: DataFrame) -> list[str]:
-    """Lines of a pruned map; for results made small by pruning (GRF-08)."""
-    rows = nodes.orderBy("path").select("depth", "name", "components").toLocalIterator()
-    return [f"{'  ' * (r.depth - 1)}{r.name}/ ({r.components:,})" for r in rows]
+def rendered(nodes: DataFrame) -> DataFrame:
+    """path, sort and text of the line of every node (GRF-08, SRT-03): children by name below their parent, box connectors.
+
+    A connector depends on whether a node and its ancestors are the last of their parents: a window over the children,
+    a join with the ancestors and one aggregation. Ordering by sort gives the whole text.
+    """
+    w = Window.partitionBy("parent").orderBy(F.desc("name"))
+    n = nodes.withColumn("last", F.row_number().over(w) == 1)
+    up = n.select("path", "depth", F.explode(ancestors(F.concat_ws("/", "path", F.lit("x")))).alias("above"))
+    flags = n.select(F.col("path").alias("above"), F.col("depth").alias("level"), "last")
+    line = up.join(flags, "above").filter("level > 1").groupBy("path").agg(F.array_sort(F.collect_list(F.struct("level", "last"))).alias("f"))
+    bars = lambda f: F.concat_ws("", F.transform(F.slice(f, 1, F.size(f) - 1), lambda x: F.when(x["last"], "   ").otherwise("│  ")), F.when(F.element_at(f, -1)["last"], "└─ ").otherwise("├─ "))
+    count = F.format_number("components", 0)
+    text = F.when(F.col("f").isNull(), F.concat("name", F.lit("/  "), count, F.lit(" components"))).otherwise(F.concat(bars(F.col("f")), "name", F.lit("/  "), count))
+    return n.join(line, "path", "left").select("path", F.regexp_replace("path", "/", "\x01").alias("sort"), text.alias("text"))
+
+
+def depth_for_budget(nodes: DataFrame, budget: int, deepest: int = 5) -> DataFrame:
+    """depth, tokens and chosen: the estimated tokens of the rendered map at every depth, and the deepest that fits the budget, at least 1 (GRF-09).
+
+    Sums of line lengths and words by depth give all estimates at once; nothing is rendered twice.
+    """
+    r = rendered(nodes.filter(F.col("depth") <= deepest))
+    t = T.collapsed(F.col("text"))
+    per = r.select(F.size(F.split("path", "/")).alias("d"), (F.length(t) + 1).alias("chars"), F.size(F.split(t, " ")).alias("words")).groupBy("d").agg(F.sum("chars").alias("chars"), F.sum("words").alias("words"))
+    w = Window.orderBy("d")  # one row a depth
+    s = per.select(F.col("d").cast("bigint").alias("depth"), F.greatest(F.ceil((F.sum("chars").over(w) - 1) / 4.5), F.ceil(F.sum("words").over(w) * 1.25)).cast("bigint").alias("tokens"))
+    fits = F.coalesce(F.max(F.when(F.col("tokens") <= budget, F.col("depth"))).over(Window.partitionBy()), F.lit(1))
+    return s.withColumn("chosen", F.col("depth") == fits)

@@ -548,7 +548,7 @@ def incremental_calls(s, d):
     h AS (SELECT asked, name, path, ord, CASE WHEN name = asked OR ends_with(name, '.' || asked) THEN 0 ELSE 1 END AS e FROM a JOIN c ON string_split(name, '.')[-1] = asked), r AS (SELECT *, row_number() OVER (PARTITION BY asked ORDER BY e, ord) AS rn FROM h)
     SELECT asked, name, path FROM r WHERE rn = 1""")
 def resolve_symbol(s, d):
-    """JN-15, JN-16: best component for every method name."""
+    """JN-15: best component for every method name."""
     c = cut(components(s, d)).withColumn("asked", F.substring_index("name", ".", -1))
     asked = c.filter("type = 'method'").select("asked").distinct()
     hits = c.join(asked, "asked").select("asked", "name", "path", F.col("ord").alias("rank"))
@@ -566,7 +566,7 @@ def tree_rollup(s, d):
 
 @query("WITH " + TREE + " SELECT * FROM nodes WHERE depth <= 4")
 def tree_pruned(s, d):
-    """GRF-06, GRF-09."""
+    """GRF-06."""
     return tree.pruned(tree.rolled_up(components(s, d)), 4)
 
 
@@ -666,7 +666,12 @@ def scan_components(s, d):
     return scanner.scan(table(s, d, "source_files")).drop("snippet")
 
 
-@query("""SELECT file_id, file FROM source_files WHERE NOT regexp_matches('/' || file, '/(node_modules|bower_components|vendor|third_party|dist|build|out|target|mocks|testdata|coverage|logs|tmp|temp|fixtures|__fixtures__|__snapshots__|benchmarks|generated|public|static)/|\\.(min\\.js|map|d\\.ts|log|tmp|pb\\.go|gen\\.go)$|_gen\\.go$|/mock_[^/]*\\.go$')
+@query("""WITH f AS (SELECT file_id, file, content, string_split(file, '/') AS l, string_split(file, '/')[-1] AS n FROM source_files)
+    SELECT file_id, file FROM f WHERE NOT list_has_any(l[1:len(l) - 1], ['node_modules', 'bower_components', 'vendor', 'third_party', 'dist', 'build', 'out', 'target', '.next', '.turbo', '.nuxt', 'mocks', 'testdata', '.git', '.svn', '.hg',
+        '.vscode', '.idea', '.vs', '.fleet', '.cache', '.parcel-cache', '.vite', 'coverage', '.nyc_output', 'logs', 'tmp', 'temp', '__fixtures__', '__snapshots__', 'fixtures', 'analysis-reports', '.research', 'benchmarks', 'generated',
+        '.terraform', '.serverless', 'cdk.out', 'public', 'static', '.claude', '.changeset'])
+    AND NOT (n LIKE '%.pb.go' OR n LIKE '%.gen.go' OR n LIKE '%\\_gen.go' ESCAPE '\\' OR n LIKE '%.pb.gw.go' OR n LIKE 'mock\\_%.go' ESCAPE '\\' OR n LIKE '%.log' OR n LIKE '%.tmp' OR n LIKE '.env%' OR n LIKE '%.min.js' OR n LIKE '%.min.css'
+        OR n LIKE '%.map' OR n LIKE '%.d.ts' OR n LIKE '%.wasm' OR n IN ('.eslintcache', 'package-lock.json', 'yarn.lock', 'pnpm-lock.yaml', 'Cargo.lock', 'Gemfile.lock', '.DS_Store', 'Thumbs.db'))
     AND regexp_matches(file, '\\.(ts|tsx|js|jsx|mjs|cjs|go|py|rs|md|mdx|markdown)$') AND regexp_matches(content, '\\S')""")
 def scanned_files(s, d):
     """SRC-02, SRC-03, SRC-06, FLT-10: files that a scan takes, by path before content."""

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from codeweft.functions import text as T
+from codeweft.operators.stats import delivered_once
 from codeweft.session import spread
 
 HEADER = r"^([0-9a-f]{7,40})\x{1f}(.*)$"
@@ -26,7 +28,7 @@ def numstat(line: Column) -> Column:
 
 def printed(commits: DataFrame) -> DataFrame:
     """repo and the log text of one commit a row, as a log with numstat prints it; the unit that a log is split into."""
-    c = commits.dropDuplicates(["repo", "hash"])
+    c = delivered_once(commits)
     line = lambda f: F.concat_ws("\t", F.coalesce(f.additions, F.lit(0)).cast("string"), F.coalesce(f.deletions, F.lit(0)).cast("string"), F.when((f.status == "renamed") & f.previous_path.isNotNull(), F.concat_ws(" => ", f.previous_path, f.path)).otherwise(f.path))
     body = F.array_join(F.transform("files", line), "\n")
     return c.select("repo", "hash", F.concat_ws("\n", F.concat("hash", F.lit("\x1f"), F.coalesce("author.date", F.lit(""))), body).alias("log"))
@@ -46,10 +48,51 @@ def parse_log(logs: DataFrame) -> DataFrame:
     return files.select("repo", "hash", F.nullif("date", F.lit("")).alias("date"), "s.path", "s.previous", "s.additions", "s.deletions")
 
 
+FIELD, RECORD = "\x1f", "\x1e"
+
+
+def records(commits: DataFrame) -> DataFrame:
+    """repo and the text of each commit as eleven separated fields, the record mark and its numstat lines (SRC-29)."""
+    c = delivered_once(commits)
+    text = lambda x: F.coalesce(F.col(x).cast("string"), F.lit(""))
+    head = F.concat_ws(FIELD, "hash", text("short_hash"), *[text(f"{who}.{x}") for who in ("author", "committer") for x in ("name", "email", "date")], text("subject"), text("body"), F.lit(""))
+    line = lambda f: F.concat_ws("\t", F.coalesce(f.additions, F.lit(0)).cast("string"), F.coalesce(f.deletions, F.lit(0)).cast("string"), f.path)
+    return c.select("repo", F.concat(head, F.lit(RECORD + "\n\n"), F.coalesce(F.array_join(F.transform("files", line), "\n"), F.lit(""))).alias("record"))
+
+
+def parse_records(rows: DataFrame) -> DataFrame:
+    """Commits of records (FN-15): fields, whole message, references, totals of the numstat lines; fewer than eleven fields give no row."""
+    f = F.split(F.split("record", RECORD)[0], FIELD)
+    lines = F.filter(F.split(F.coalesce(F.try_element_at(F.split("record", RECORD), F.lit(2)), F.lit("")), "\n"), lambda x: F.size(F.split(x, "\t")) >= 3)
+    count = lambda n: F.aggregate(lines, F.lit(0).cast("bigint"), lambda a, x: a + F.coalesce(F.split(x, "\t")[n].try_cast("bigint"), F.lit(0)))
+    r = rows.filter(F.size(f) >= 11)
+    subject, body = f[8], f[9]
+    message = F.when(body == "", subject).otherwise(F.concat(subject, F.lit("\n\n"), body))
+    return r.select(
+        "repo", f[0].alias("hash"), f[1].alias("short_hash"), f[2].alias("author_name"), f[3].alias("author_email"), f[4].alias("author_date"), subject.alias("subject"), message.alias("message"),
+        T.issue_refs(message).alias("issue_refs"), T.pr_refs(message).alias("pr_refs"), count(0).alias("additions"), count(1).alias("deletions"), F.size(lines).cast("bigint").alias("files"), F.filter(F.split(f[10], " "), lambda x: x != "").alias("parents"),
+    )
+
+
+def selected(commits: DataFrame, since=None, until=None, author: str | None = None, path: str | None = None, merges: bool = True) -> DataFrame:
+    """Commits of a log by its options (SRC-29): dates, a part of the author's name or address, a touched file or folder,
+    and subjects that do not begin a merge. Filters reach the scan where they are plain."""
+    c = commits
+    if since is not None:
+        c = c.filter(F.col("committed_at") >= F.lit(since))
+    if until is not None:
+        c = c.filter(F.col("committed_at") <= F.lit(until))
+    if author is not None:
+        c = c.filter(F.contains(F.concat_ws(" ", "author.name", "author.email"), F.lit(author)))
+    if path is not None:
+        c = c.filter(F.exists("files", lambda f: (f.path == path) | f.path.startswith(path.rstrip("/") + "/")))
+    return c if merges else c.filter(~F.coalesce(F.col("subject").startswith("Merge "), F.lit(False)))
+
+
 def parse_blame(blame: DataFrame) -> DataFrame:
     """file, line, hash, author, time and content of porcelain blame lines (FN-17). blame: file, n, text."""
     w = Window.partitionBy("file").orderBy("n")
     carry = lambda rx, g=1: F.last(F.when(F.col("text").rlike(rx), F.regexp_extract("text", rx, g)), ignorenulls=True).over(w)
     header = r"^([0-9a-f]{40}) \d+ (\d+)(?: \d+)?$"
     b = blame.withColumn("hash", carry(header)).withColumn("line", carry(header, 2).cast("bigint")).withColumn("author", carry("^author (.*)$")).withColumn("time", F.timestamp_seconds(carry(r"^author-time (\d+)$").cast("bigint")))
-    return b.filter(F.col("text").startswith("\t")).select("file", "line", "hash", "author", "time", F.substring("text", 2, 1_000_000).alias("content"))
+    return b.filter(F.col("text").startswith("\t")).select("file", "line", "hash", "author", "time", F.substring("text", F.lit(2), F.length("text")).alias("content"))

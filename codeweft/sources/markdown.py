@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from codeweft.functions.text import slugify
+from codeweft.functions.text import extension, slugify
 
 FENCE = r"^ {0,3}(?:```|~~~)"
 
@@ -16,7 +16,7 @@ def sections(files: DataFrame) -> DataFrame:
     Text before the first heading is dropped; list, table and quote lines are no paragraph. Null contents have no rows.
     Lines of a file meet in one window; a file is the unit of its own order.
     """
-    md = files.filter(F.col("file").endswith(".md")).select("file_id", F.split(F.regexp_replace("content", "\r\n?", "\n"), "\n").alias("ls"))
+    md = files.filter(extension(F.col("file")).isin("md", "mdx", "markdown")).select("file_id", F.split(F.regexp_replace("content", "\r\n?", "\n"), "\n").alias("ls"))
     lines = md.select("file_id", F.posexplode("ls").alias("n", "t")).withColumn("line", F.col("n") + 1)
     w = Window.partitionBy("file_id").orderBy("line")
     fence = F.col("t").rlike(FENCE)

@@ -15,25 +15,46 @@ from codeweft.functions import text as T
 from codeweft.session import spread
 from codeweft.sources.lexers import LEXERS, LexError, Tokens
 
-# Folders and names that a scan leaves out.
-EXCLUDED = (
-    r"/(?:node_modules|bower_components|vendor|third_party|dist|build|out|target|mocks|testdata|coverage|logs|tmp|temp|fixtures|__fixtures__|__snapshots__|benchmarks|generated|public|static|\.[^/]+)/"
-    r"|\.(?:min\.js|map|d\.ts|log|tmp|pb\.go|pb\.gw\.go|gen\.go|wasm)$|_gen\.go$|/mock_[^/]*\.go$"
-)
+# Folders and names that a scan leaves out, as globs; a star stands for any characters but a slash.
+EXCLUDED_FOLDERS = """
+node_modules bower_components vendor third_party dist build out target .next .turbo .nuxt mocks testdata .git .svn .hg .vscode .idea .vs .fleet
+.cache .parcel-cache .vite coverage .nyc_output logs tmp temp __fixtures__ __snapshots__ fixtures analysis-reports .research benchmarks generated
+.terraform .serverless cdk.out public static .claude .changeset
+""".split()
+EXCLUDED_NAMES = """
+*.pb.go *.gen.go *_gen.go *.pb.gw.go mock_*.go .eslintcache *.log *.tmp package-lock.json yarn.lock pnpm-lock.yaml Cargo.lock Gemfile.lock .DS_Store
+Thumbs.db .env* *.min.js *.min.css *.map *.d.ts *.wasm
+""".split()
+
+
+def globs(names: list[str]) -> str:
+    """One expression for names with stars."""
+    return "|".join(re.escape(n).replace(r"\*", "[^/]*") for n in names)
+
+
+EXCLUDED = f"/(?:{globs(EXCLUDED_FOLDERS)})/|/(?:{globs(EXCLUDED_NAMES)})$"
 SCHEMA = "file_id bigint, type string, name string, start_line int, end_line int, signature string, exported boolean, docstring string, snippet string, callees array<struct<name:string,line:int>>, imports array<string>, error string"
 
 
 def read_repository(spark: SparkSession, root: str) -> DataFrame:
-    """path, size_bytes and content of the files below a folder; excluded paths are dropped before contents are decoded (SRC-01, AGG-29)."""
+    """file, size_bytes and content of the files below a folder; excluded paths are dropped before contents are decoded (SRC-01, AGG-29)."""
     f = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
     base = root.split("://", 1)[-1].rstrip("/")
     below = F.expr(f"substring(path, instr(path, '{base}') + {len(base)})")
-    return f.filter(~below.rlike(EXCLUDED)).select(F.substring(below, 2, 1_000_000).alias("file"), F.col("length").alias("size_bytes"), F.col("content").cast("string").alias("content"))
+    return f.filter(~below.rlike(EXCLUDED)).select(F.expr(f"substring(path, instr(path, '{base}') + {len(base) + 1})").alias("file"), F.col("length").alias("size_bytes"), F.col("content").cast("string").alias("content"))
+
 
+def eligible(files: DataFrame, include: list[str] | None = None, exclude: list[str] | None = None) -> DataFrame:
+    """Files with a known extension, in no excluded place, that are not blank (SRC-02, SRC-03, SRC-06, FLT-10).
 
-def eligible(files: DataFrame) -> DataFrame:
-    """Files with a known extension, in no excluded place, that are not blank (SRC-02, SRC-03, SRC-06, FLT-10)."""
+    include and exclude are globs of whole paths in which ** stands for any folders; one of include must match where given.
+    """
     path = F.concat(F.lit("/"), F.col("file"))
+    whole = lambda g: "^" + "(?:.*/)?".join(globs([x]) for x in g.split("**/")).replace("(?:.*/)?" + globs(["**"]), ".*").replace(globs(["**"]), ".*") + "$"
+    if include:
+        files = files.filter(F.col("file").rlike("|".join(map(whole, include))))
+    if exclude:
+        files = files.filter(~F.col("file").rlike("|".join(map(whole, exclude))))
     return files.filter(~path.rlike(EXCLUDED) & T.extension(F.col("file")).isin(*T.INDEXABLE) & F.col("content").rlike(r"\S"))
 
 
@@ -64,6 +85,11 @@ def python_components(text: str) -> list[tuple]:
     return out
 
 
+#: Kinds that begin a statement, and kinds that may end one.
+STARTS = ("const", "let", "var", "function", "class", "export", "import", "if", "for", "while", "return", "switch", "try", "throw", "do", "break", "continue")
+ENDS = ("NAME", "NUM", "STR", "TN", "TT", "REGEX", "PRIV", ")", "]", "}", "this", "super", "null", "true", "false", "++", "--")
+
+
 def partners(t: Tokens) -> dict[int, int]:
     """Closing token of each opening bracket."""
     stack, out = [], {}
@@ -102,15 +128,21 @@ def lexed_components(text: str, language: str) -> list[tuple]:
     k, w, close = t.kinds, t.words, partners(t)
     line = lambda i: text.count("\n", 0, t.starts[i]) + 1
     script = language in ("javascript", "typescript")
-    imports = list(dict.fromkeys(w[i][1:-1] for i in range(1, len(k)) if k[i] == "STR" and (w[i - 1] == "from" or k[i - 1] == "import" or language == "go" and w[i - 1] in ("(", "\n", "import") and "import" in w[max(0, i - 40) : i]))) if script or language == "go" else re.findall(r"(?m)^use\s+([\w:]+)", text)
+    if language == "rust":
+        imports = re.findall(r"(?m)^use\s+([\w:]+)", text)
+    elif language == "go":
+        blocks = [range(i + 1, close[i + 1] if k[i + 1] == "(" and i + 1 in close else min(i + 3, len(k))) for i in range(len(k)) if k[i] == "import"]
+        imports = list(dict.fromkeys(w[j][1:-1] for block in blocks for j in block if k[j] == "STR"))
+    else:
+        imports = list(dict.fromkeys(w[i][1:-1] for i in range(1, len(k)) if k[i] == "STR" and (w[i - 1] == "from" or k[i - 1] == "import")))
     out: list[tuple] = []
 
     def put(kind: str, name: str, first: int, body: int | None, exported: bool, end: int | None = None) -> None:
         last = end if end is not None else close.get(body, body) if body is not None else first
         sig = re.sub(r"\s+", " ", text[t.starts[first] : t.starts[body] if body is not None else t.ends[last]]).strip(" =;")
         calls: dict = {}
-        if kind in ("function", "method") and body is not None:
-            for i in range(body, last):
+        if kind in ("function", "method") and last > first:
+            for i in range(body if body is not None else first + 2, last):
                 if k[i] == "NAME" and k[i + 1] == "(" and k[i - 1] not in ("function", "fn", "func"):
                     j = i
                     while j >= 2 and k[j - 1] in (".", "::", "?.") and k[j - 2] in ("NAME", "this", "self"):
@@ -130,6 +162,24 @@ def lexed_components(text: str, language: str) -> list[tuple]:
             i += 1
         return None
 
+    def past_type(i: int, end: int, stops: tuple) -> int:
+        """First of the stops at this level, brackets passed over; a statement's end or the start of another ends the search."""
+        while i < end and k[i] not in stops:
+            if k[i] == ";" or t.breaks[i] and k[i] in STARTS:
+                return end
+            i = close.get(i, i) + 1
+        return i
+
+    def expression_end(i: int, end: int) -> int:
+        """Last token of an expression: before a separator at its level, or a line break that no operator spans."""
+        last = i
+        while i < end and k[i] not in (";", ",", ")", "]", "}"):
+            if i > last and t.breaks[i] and k[i] in (*STARTS, "NAME", "@", "}") and k[i - 1] in ENDS:
+                break
+            last = close.get(i, i)
+            i = last + 1
+        return last
+
     def walk(i: int, end: int, owner: str | None, top: bool) -> None:
         while i < end:
             if script and k[i] == "@" or language == "rust" and k[i] == "#":  # decorators and attributes
@@ -175,18 +225,22 @@ def lexed_components(text: str, language: str) -> list[tuple]:
             elif language == "go" and k[i] == "type" and k[i + 1] == "NAME":
                 kinds = {"struct": "class", "interface": "interface"}
                 body = body_after(i + 2)
-                put(kinds.get(next((x for x in k[i + 2 : i + 30] if x in kinds or x == ";"), ""), "type"), name, first, body, name[:1].isupper(), None if body is not None else i + 1)
+                at = close.get(i + 2, i + 1) + 1 if k[i + 2] == "[" else i + 2 + (k[i + 2] == "=")
+                put(kinds.get(k[at], "type"), name, first, body, name[:1].isupper(), None if body is not None else i + 1)
             elif script and w[i] == "type" and k[i + 1] == "NAME" and k[i + 2] in ("=", "<"):
                 put("type", name, first, None, exported, i + 1)
             elif script and k[i] == "const" and k[i + 1] == "NAME" and not owner:
-                at = next((j for j in range(i + 2, min(end, i + 80)) if k[j] == "="), None)
-                if at is not None:
-                    arrow = at + 1 + (w[at + 1] == "async")
-                    past = close.get(arrow, arrow) + 1 if k[arrow] == "(" else arrow + 1
-                    if k[arrow] in ("(", "NAME", "function") and (k[arrow] == "function" or "=>" in k[past : past + 40] and k[past] in ("=>", ":")):
-                        block = next((j for j in range(past, min(end, past + 60)) if k[j] == "{" and k[j - 1] in ("=>", ")") or k[j] == ";"), None)
-                        block = block if block is not None and k[block] == "{" else None
-                        put("function", name, first, block, exported, None if block is not None else at)
+                at = past_type(i + 2, end, ("=",))
+                if at < end - 1:
+                    value = at + 1 + (w[at + 1] == "async")
+                    value = next((j + 1 for j in range(value, end) if k[j] == ">" and k[j + 1] == "("), value) if k[value] == "<" else value
+                    arrow = past_type(close.get(value, value) + 1, end, ("=>",)) if k[value] == "(" and k[close.get(value, value) + 1] in ("=>", ":") else value + 1 if k[value] == "NAME" and k[value + 1] == "=>" else end
+                    if k[value] == "function":
+                        body = body_after(value + 1)
+                        put("function", name, first, body, exported, None if body is not None else at)
+                    elif arrow < end - 1:
+                        block = arrow + 1 if k[arrow + 1] == "{" else None
+                        put("function", name, first, block, exported, None if block is not None else expression_end(arrow + 1, end))
                         body = block
                     elif exported:
                         put("variable", name, first, None, True, at - 1)

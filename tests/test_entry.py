@@ -8,9 +8,8 @@ import pytest
 import __spark_entry__ as entry
 
 duckdb = pytest.importorskip("duckdb")
-#: Slow loops are compared by their own tests.
-SLOW = {"pagerank", "hot_paths", "connected_components", "subsystems"}
-CORE = sorted(n for n in entry.oracle_sql() if n not in SLOW and not n.startswith("p"))
+#: The queries of the removable subpackage have tests of their own.
+CORE = sorted(set(entry.oracle_sql()) - set(entry.llm_catalogue.ORACLES if entry.llm_catalogue else ()))
 
 
 def plain(v):

@@ -1,12 +1,14 @@
 """Index, statistics, maps, search and packing on small tables."""
 
 import datetime as dt
+import math
 import random
 
 import pytest
 from pyspark.sql import functions as F
 
-from codeweft.operators import index, patterns, search, stats, tree
+from codeweft import session
+from codeweft.operators import graph, index, lookup, patterns, refs, search, stats, tree
 
 COLUMNS = "ord bigint, id string, repo string, file string, type string, language string, name string, start_line int, end_line int, signature string, exported boolean, docstring string, snippet string, text string, imports array<string>, callees array<struct<name:string,file:string,line:int>>, indexed_at timestamp"
 
@@ -42,7 +44,11 @@ def test_tree(spark):
     got = {r.path: (r.depth, r.components) for r in t.collect()}
     assert got["o/r"] == (2, 4) and got["o/r/a"] == (3, 3) and got["o/r/a/c/d"] == (5, 1) and got["p"] == (1, 1)
     assert {r.path for r in tree.smart_pruned(t, 9, 3).collect()} == {"o", "o/r", "o/r/a", "o/r/a/b", "o/r/a/c", "p", "p/q", "p/q/a"}
-    assert {r.path for r in tree.pruned(t, 1).collect()} == {"o", "p"} and tree.rendered(tree.pruned(t, 1)) == ["o/ (4)", "p/ (1)"]
+    assert {r.path for r in tree.pruned(t, 1).collect()} == {"o", "p"} and {r.text for r in tree.rendered(tree.pruned(t, 1)).collect()} == {"o/  4 components", "p/  1 components"}
+    lines = [r.text for r in tree.rendered(tree.pruned(t, 4)).orderBy("sort").collect()]
+    assert lines == ["o/  4 components", "└─ r/  4", "   └─ a/  3", "      ├─ b/  2", "      └─ c/  1", "p/  1 components", "└─ q/  1", "   └─ a/  1", "      └─ b/  1"], lines
+    chosen = {r.depth: r.chosen for r in tree.depth_for_budget(t, 10**6).collect()}
+    assert chosen[max(chosen)] and sum(chosen.values()) == 1 and {r.depth for r in tree.depth_for_budget(t, 1).filter("chosen").collect()} == {1}
     assert {(r.folder, r.name) for r in tree.exports_per_folder(index.current(rows(spark)), 1).collect()} == {("o/r/a/b", "A"), ("o/r/a/c/d", "C"), ("p/q/a/b", "A")}
 
 
@@ -93,7 +99,7 @@ def test_packing(spark):
 def test_patterns(spark):
     f = spark.createDataFrame([("r", "a.py", "import os\ntry:\n    x = [i for i in y]\nexcept E:\n    raise\n", 1), ("r", "b.ts", "import x\nawait import('y')\n", 2), ("r", "c.py", "x = (", 3), ("r", "d.go", " ", 4), ("r", "b.test.ts", "", 5), ("r", "b.ts", "old", 1)], "repo string, file string, content string, file_id bigint")
     m = {r.file: r.matches for r in patterns.rule_counts(patterns.latest(f)).collect()}
-    assert m["a.py"]["try"] == 1 and m["a.py"]["raise"] == 1 and m["a.py"]["comprehension"] == 1 and m["b.ts"]["await"] == 1 and m["b.ts"]["dynamic-import"] == 1 and m["c.py"] == {} and m["d.go"] == {}
+    assert m["a.py"]["try-except"] == 1 and m["a.py"]["raise"] == 1 and m["a.py"]["import-module"] == 1 and m["b.ts"]["dynamic-import"] == 1 and m["c.py"] == {} and m["d.go"] == {}
     assert {(r.ext, r.files, r.tested) for r in patterns.tested(f.select("repo", "file").distinct()).collect()} == {("py", 2, 0), ("ts", 1, 1), ("go", 1, 0)}
 
 
@@ -132,3 +138,61 @@ def test_nearest_to_each_query(spark):
         assert [(i, n) for n, i, _ in mine] == [(i, n) for n, (_, i) in enumerate(want, 1)]
         assert all(abs(s + w) < 2e-6 for (_, _, s), (w, _) in zip(mine, want))
     assert {g.query for g in got} == set(range(0, 230, 20))
+
+
+def test_lookups(spark, tmp_path):
+    c = index.current(rows(spark)).select("id", "path", "name")
+    asked = spark.createDataFrame([("none",), (c.first().id,), (c.first().id,)], "id string")
+    got = {r.id: r.path for r in lookup.by_id(c.dropDuplicates(["id"]), asked).collect()}
+    assert len(got) == 2 and got["none"] is None and all(got[k] for k in got if k != "none")
+    assert lookup.of_file_types(c, []).count() == c.count() and lookup.of_file_types(c, [".nope"]).count() == 0
+    hits = spark.createDataFrame([(1, "a/x.ts", "a/x.ts", 1), (1, "a/x.ts", "b/y.TS", 2), (1, "a/x.ts", "b/y.go", 3), (1, "a/x.ts", "c.ts", 4)], "query int, asked string, path string, rank int")
+    assert [(r.rank, r.path) for r in lookup.same_kind(hits, 5).orderBy("rank").collect()] == [(1, "b/y.TS"), (2, "c.ts")]
+    bad = spark.createDataFrame([(1, 0.5, '{"k": 1}'), (2, 0.1, "no json"), (3, 0.2, None)], "n int, score double, m string")
+    assert {r.id: r.metadata.get("k") for r in lookup.hits_with_metadata(bad, "n", "m", "map<string,string>").collect()} == {1: "1", 2: None, 3: None}
+    files = spark.createDataFrame([("r", x) for x in ("src/a.ts", "src/a.test.ts", "t/a.spec.ts", "b.py", "t/test_b.py", "c.go")], "repo string, file string")
+    assert {(r.file, r.rank, r.test_file) for r in lookup.related_tests(files).collect()} == {("src/a.ts", 1, "src/a.test.ts"), ("src/a.ts", 2, "t/a.spec.ts"), ("b.py", 1, "t/test_b.py")}
+    edges, calls = (spark.createDataFrame([("a", "b")], "src string, dst string") for _ in range(2))
+    build = lambda: ("built", None)
+    root = str(tmp_path / "graph")
+    assert lookup.load_graph(spark, root, build) == ("built", None)
+    lookup.save_graph(edges, calls, root)
+    e, k = lookup.load_graph(spark, root, build)
+    assert e.collect() == edges.collect() and k.count() == 1
+    spark.createDataFrame([(9, 1)], "format int, edges int").coalesce(1).write.mode("overwrite").json(f"{root}/format")
+    assert lookup.load_graph(spark, root, build) == ("built", None)
+
+
+def test_callees(spark):
+    e = "array<struct<name:string,file:string,line:int>>"
+    rows_ = [
+        (1, "r", "a.ts", "r/a.ts", "f", "function", ["./lib/b", "x"], [("g", None, 1), ("obj.h", None, 2), ("new K", "dist/k.js", 3), ("q", None, 4), ("t", None, 5)]),
+        (2, "r", "a.ts", "r/a.ts", "g", "function", None, None), (3, "r", "z.ts", "r/z.ts", "g", "function", None, None), (4, "r", "lib/b/index.ts", "r/lib/b/index.ts", "h", "function", None, None),
+        (5, "r", "y.ts", "r/y.ts", "h", "function", None, None), (6, "r", "y.ts", "r/y.ts", "q", "function", None, None), (7, "r", "m.ts", "r/m.ts", "t", "function", None, None), (8, "r", "n.ts", "r/n.ts", "t", "function", None, None),
+    ]
+    c = spark.createDataFrame(rows_, f"ord int, repo string, file string, path string, name string, type string, imports array<string>, callees {e}")
+    got = {r.callee: (r.dst, r.way) for r in refs.resolved_callees(c).collect()}
+    assert got == {"g": ("r/a.ts", "own file"), "obj.h": ("r/lib/b/index.ts", "import"), "new K": ("r/src/k.ts", "stated"), "q": ("r/y.ts", "only file"), "t": (None, None)}
+    w = {(r.src, r.dst) for r in graph.weighted(refs.resolved_callees(c).filter("dst IS NOT NULL")).collect()}
+    assert w == {("r/a.ts", "r/lib/b/index.ts"), ("r/a.ts", "r/src/k.ts"), ("r/a.ts", "r/y.ts")}
+
+
+def test_hot_keys_are_split(spark, monkeypatch):
+    monkeypatch.setattr(session, "ROWS", 5)
+    monkeypatch.setattr(session, "HOT", 4)
+    left = spark.createDataFrame([(1, n) for n in range(40)] + [(k, k) for k in range(2, 12)], "key int, v int")
+    right = session.cut(left.groupBy("key").count().filter("key <> 3").withColumnRenamed("count", "rows"))
+    got = session.unskewed(left, right, "key", "rows")
+    assert sorted((r.key, r.v, r.rows) for r in got.collect()) == sorted((r.key, r.v, r.rows) for r in left.join(right, "key").collect())
+    assert "BroadcastHashJoin" in got._jdf.queryExecution().toString()
+    assert session.unskewed(left, right.limit(0), "key", "rows").collect() == []
+
+
+def test_percentiles(spark):
+    r = [(k, float(v), v % 3 == 0) for k in ("a", "b") for v in [5] * 50 + list(range(100 if k == "a" else 7))] + [("c", None, False)]
+    df = spark.createDataFrame(r, "k string, duration double, failed boolean")
+    for row in stats.request_metrics(df, "k").collect():
+        v = sorted(x[1] for x in r if x[0] == row.k and x[1] is not None)
+        want = [v[math.ceil(q * len(v)) - 1] if v else 0.0 for q in (0.5, 0.95, 0.99)]
+        assert [row.p50, row.p95, row.p99] == want
+    assert [tuple(x) for x in stats.request_metrics(df.limit(0)).collect()] == [(0, 0, 0, 0, 0.0, 0.0, 0.0)]

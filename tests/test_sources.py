@@ -1,5 +1,8 @@
 """Scanner, Markdown sections, git logs, blame, repository files."""
 
+from pyspark.sql import functions as F
+
+from codeweft.functions import text as T
 from codeweft.sources import gitlog, markdown, scanner
 
 TS = """import { a } from './a';
@@ -85,3 +88,34 @@ def test_git_log(spark):
     blame = ["b" * 40 + " 1 1 2", "author Ann", "author-time 0", "summary s", "\tfirst", "b" * 40 + " 2 2", "\tsecond"]
     b = spark.createDataFrame([("f", n, t) for n, t in enumerate(blame)], "file string, n int, text string")
     assert [(r.line, r.author, r.content) for r in gitlog.parse_blame(b).orderBy("line").collect()] == [(1, "Ann", "first"), (2, "Ann", "second")]
+
+
+def test_no_window_limits_declarations():
+    fields = " ".join(f"field{n}: string;" for n in range(60))
+    ts = f"export const TABLE: Record<string, {{ {fields} }}> = {{}};\nexport const run: (a: number) => void = async (a: number): Promise<{{ {fields} }}> => {{ go(a); }};\nconst one = (x) => twice(x) + 1\nconst two = 2;\n"
+    got = {(r[0], r[1]): r for r in scanner.components_of(ts, "typescript")}
+    assert set(got) == {("variable", "TABLE"), ("function", "run"), ("function", "one")}
+    assert got["function", "run"][8] == [("go", 2)] and got["function", "one"][8] == [("twice", 3)]
+    imports = "\n".join(f'\t"p{n}"' for n in range(50))
+    parameters = ", ".join(f"T{n} any" for n in range(16))
+    go = f'package a\n\nimport (\n{imports}\n)\nimport q "z"\n\ntype S[{parameters}] struct {{ a int }}\ntype N [5]int\nfunc F() {{ g("p", "q") }}\n'
+    got = {(r[0], r[1]): r for r in scanner.components_of(go, "go")}
+    assert set(got) == {("class", "S"), ("type", "N"), ("function", "F")} and len(got["function", "F"][9]) == 51
+
+
+def test_places(spark):
+    paths = {".github/a.py": True, ".storybook/b.ts": True, "cdk.out/c.ts": False, "analysis-reports/d.md": False, "x/.git/e.py": False, "mock_f.go": False, "amock_f.go": True, "g.d.ts": False, "h.min.js": False, "dist.ts": True, "a/dist/i.ts": False, ".env.ts": False, "src/vendors/j.go": True}
+    df = spark.createDataFrame([(p, "x") for p in paths], "file string, content string")
+    assert {r.file for r in scanner.eligible(df).collect()} == {p for p, k in paths.items() if k}
+    assert {r.file for r in scanner.eligible(df, include=["**/*.ts"], exclude=[".storybook/**"]).collect()} == {"dist.ts"}
+    marks = [("a.go", "// do not edit by hand\n", True), ("b.go", "// Code generated by x. DO NOT EDIT.\n", False), ("c.py", "# we do not edit\n", True), ("d.py", "#!x\n# Generated by y\n", False), ("e_pb2.py", "x", False)]
+    m = spark.createDataFrame(marks, "file string, content string, kept boolean").withColumn("made", T.is_generated(F.col("file"), F.col("content")))
+    assert all(r.made != r.kept for r in m.collect())
+
+
+def test_records(spark):
+    sep = "\x1f"
+    good = sep.join(["h", "s", "Ann", "a@x", "d", "Bob", "b@x", "e", "Fix #3", "see PR #4", "p1 p2"]) + "\x1e\n\n1\t2\ta.ts\n-\t-\tb.png\n"
+    df = spark.createDataFrame([("r", good), ("r", "h" + sep + "x"), ("r", ""), ("r", None)], "repo string, record string")
+    [r] = gitlog.parse_records(df).collect()
+    assert (r.message, r.additions, r.deletions, r.files, r.parents, r.issue_refs, r.pr_refs) == ("Fix #3\n\nsee PR #4", 1, 2, 2, ["p1", "p2"], [3], [4])

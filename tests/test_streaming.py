@@ -2,6 +2,7 @@
 
 import datetime as dt
 
+from pyspark.sql import functions as F
 
 from codeweft.operators.stats import debounced
 from codeweft.streaming import folds, incremental
@@ -55,3 +56,25 @@ def test_index(spark, tmp_path):
 
 def test_bucket_rule():
     assert folds.bucket(0.5, 0.0, 10.0, 2, 0.1) == (True, 0.5) and folds.bucket(0.0, 0.0, 1.0, 2, 0.1) == (False, 0.1)
+
+
+def test_publish_loses_nothing(spark, tmp_path, monkeypatch):
+    root = str(tmp_path / "t")
+    schema = "path string, v int"
+    df = lambda rows: spark.createDataFrame(rows, schema)
+    read = lambda: {(r.path, r.v) for r in incremental.read_table(spark, root, schema).collect()}
+    rows = [(f"p{n}", n) for n in range(50)]
+    assert incremental.publish(df(rows), root) == 0 and read() == set(rows)
+    part = df([("p7", 0)]).select(incremental.part_of(F.col("path"))).first()[0]
+    mine = incremental.read_table(spark, root, schema, [part]).filter("path <> 'p7'")
+    monkeypatch.setattr(incremental.json, "dumps", lambda x: 1 / 0)
+    try:
+        incremental.publish(mine, root, [part])
+    except ZeroDivisionError:
+        pass
+    assert read() == set(rows)  # a crash before the version is current
+    monkeypatch.undo()
+    assert incremental.publish(mine, root, [part]) == 1 and read() == {r for r in rows if r[0] != "p7"}
+    files = {f for f in spark.read.schema(schema).parquet(f"{root}/v=1").inputFiles()}
+    assert len(files) <= 1  # only the touched part was written
+    assert incremental.compacted(spark, root, schema) == 2 and read() == {r for r in rows if r[0] != "p7"}
