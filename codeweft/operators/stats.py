@@ -63,12 +63,14 @@ def compare(before: DataFrame, after: DataFrame, key: str, value: str) -> DataFr
     return j.withColumn("absolute", absolute).withColumn("percent", percent).withColumn("trend", trend)
 
 
-def export_long(c: DataFrame) -> DataFrame:
-    """Statistics as rows of category, subcategory, metric and value, ready for CSV (SNK-08)."""
+def export_long(c: DataFrame, packages: DataFrame) -> DataFrame:
+    """Statistics as rows of category, subcategory, metric and value, ready for CSV (SNK-08); commas of package names become semicolons."""
     lang = by_language(c)
     unpivot = lambda d, category, key, metrics: d.unpivot([key], metrics, "metric", "value").select(F.lit(category).alias("category"), F.col(key).alias("subcategory"), "metric", F.col("value").cast("bigint").alias("value"))
     overview = lang.agg(*[F.sum(x).alias(x) for x in ("files", "components", "lines")]).withColumn("all", F.lit("all"))
-    return unpivot(overview, "overview", "all", ["files", "components", "lines"]).unionByName(unpivot(lang, "language", "language", ["files", "components", "lines"])).unionByName(unpivot(by_type(c), "component", "type", ["components"]))
+    return unpivot(overview, "overview", "all", ["files", "components", "lines"]).unionByName(unpivot(lang, "language", "language", ["files", "components", "lines"])).unionByName(unpivot(by_type(c), "component", "type", ["components"])).unionByName(
+        unpivot(packages.withColumn("package", F.replace("package", F.lit(","), F.lit(";"))), "package", "package", ["files", "components", "languages"])
+    )
 
 
 def to_json_rows(d: DataFrame, key: str) -> DataFrame:
@@ -76,10 +78,10 @@ def to_json_rows(d: DataFrame, key: str) -> DataFrame:
     return d.select(key, F.to_json(F.struct(*sorted(d.columns))).alias("json"))
 
 
-def markdown_table(d: DataFrame) -> DataFrame:
-    """Language statistics as lines of a Markdown table, in order (SNK-09); a small result."""
-    row = F.format_string("| %s | %d | %d | %d |", "language", "files", "components", "lines")
-    return d.select(F.row_number().over(Window.orderBy(F.desc("components"), "language")).cast("bigint").alias("line"), row.alias("text"))
+def markdown_table(d: DataFrame, key: str = "language", metrics: list[str] = ("files", "components", "lines")) -> DataFrame:
+    """Statistics by language or package as lines of a Markdown table, most components first (SNK-09, SRT-07); one row a group."""
+    row = F.format_string("| %s |" + " %d |" * len(metrics), key, *metrics)
+    return d.select(F.row_number().over(Window.orderBy(F.desc("components"), key)).cast("bigint").alias("line"), row.alias("text"))
 
 
 # ---------------------------------------------------------------- change frequency

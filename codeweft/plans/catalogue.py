@@ -174,7 +174,7 @@ def filter_components(s, d):
     k AS (SELECT doc_id, text, CASE WHEN n = '' THEN 0 ELSE greatest(ceil(length(n) / 4.5), ceil(len(string_split(n, ' ')) * 1.25))::BIGINT END AS tokens FROM t)
     SELECT doc_id, tokens, CASE WHEN tokens <= 40 THEN text ELSE substring(text, 1, 157) || '...' END AS short FROM k""")
 def token_estimate(s, d):
-    """FN-01, FN-02, FN-03."""
+    """FN-01, FN-02."""
     t = table(s, d, "documents").filter("text IS NOT NULL")
     return t.select("doc_id", T.estimate_tokens(F.col("text")).alias("tokens"), T.truncate_to_budget(F.col("text"), 40).alias("short"))
 
@@ -298,10 +298,13 @@ def stats_compare(s, d):
 
 
 @query("WITH " + LANG + """, o AS (SELECT 'overview' AS category, 'all' AS subcategory, unnest(['files', 'components', 'lines']) AS metric, CAST(unnest([sum(files), sum(components), sum(lines)]) AS BIGINT) AS value FROM l)
-    SELECT * FROM o UNION ALL SELECT 'language', language, unnest(['files', 'components', 'lines']), CAST(unnest([files, components, lines]) AS BIGINT) FROM l UNION ALL SELECT 'component', type, 'components', count(*) FROM c GROUP BY type""")
+    SELECT * FROM o UNION ALL SELECT 'language', language, unnest(['files', 'components', 'lines']), CAST(unnest([files, components, lines]) AS BIGINT) FROM l UNION ALL SELECT 'component', type, 'components', count(*) FROM c GROUP BY type
+    UNION ALL SELECT 'package', replace(package, ',', ';'), unnest(['files', 'components', 'languages']), CAST(unnest([files, components, languages]) AS BIGINT) FROM (SELECT package, count(DISTINCT path) AS files, count(*) AS components, count(DISTINCT language) AS languages
+        FROM c JOIN (SELECT path, arg_max(package, length(package)) AS package FROM (SELECT DISTINCT path FROM c) JOIN (""" + PACKAGES + """) p ON starts_with(path, package || '/') GROUP BY path) b USING (path) GROUP BY package)""")
 def stats_export_long(s, d):
     """SNK-08."""
-    return stats.export_long(components(s, d))
+    c = components(s, d)
+    return stats.export_long(c, stats.by_package(c, packages(s, d)))
 
 
 @query("WITH " + LANG + " SELECT CAST(row_number() OVER (ORDER BY components DESC, language) AS BIGINT) AS line, '| ' || language || ' | ' || files || ' | ' || components || ' | ' || lines || ' |' AS text FROM l")
@@ -310,13 +313,20 @@ def stats_markdown(s, d):
     return stats.markdown_table(stats.by_language(components(s, d)))
 
 
-@query("""WITH q AS (SELECT ord, repo || '/' || id AS id, type, name, text, indexed_at FROM components), o AS (SELECT id, min(concat_ws('|', type, name, text)) AS h FROM q WHERE indexed_at < TIMESTAMP '2024-07-01' GROUP BY id),
-    n AS (SELECT id, min(concat_ws('|', type, name, text)) AS h FROM q WHERE indexed_at >= TIMESTAMP '2024-02-01' OR indexed_at IS NULL GROUP BY id)
-    SELECT id, CASE WHEN o.h IS NULL THEN 'insert' WHEN n.h IS NULL THEN 'delete' ELSE 'both' END AS action FROM o FULL JOIN n USING (id)""")
+@query("WITH " + C + f""", p AS ({PACKAGES}), b AS (SELECT path, arg_max(package, length(package)) AS package FROM (SELECT DISTINCT path FROM c) JOIN p ON starts_with(path, package || '/') GROUP BY path),
+    g AS (SELECT package, count(DISTINCT path) AS files, count(*) AS components FROM c JOIN b USING (path) GROUP BY package)
+    SELECT CAST(row_number() OVER (ORDER BY components DESC, package) AS BIGINT) AS line, '| ' || package || ' | ' || files || ' | ' || components || ' |' AS text FROM g""")
+def stats_markdown_packages(s, d):
+    """SNK-09, SRT-07: packages by components."""
+    return stats.markdown_table(stats.by_package(components(s, d), packages(s, d)), "package", ["files", "components"])
+
+
+@query("""WITH q AS (SELECT repo || '/' || id AS id, sha256(concat_ws(chr(1), coalesce(type, chr(2)), coalesce(name, chr(2)), coalesce(text, chr(2)))) AS h, indexed_at FROM components),
+    o AS (SELECT id, min(h) AS h FROM q WHERE indexed_at < TIMESTAMP '2024-07-01' GROUP BY id), n AS (SELECT id, min(h) AS h FROM q WHERE indexed_at >= TIMESTAMP '2024-02-01' OR indexed_at IS NULL GROUP BY id)
+    SELECT id, CASE WHEN o.h IS NULL THEN 'insert' WHEN n.h IS NULL THEN 'delete' WHEN o.h = n.h THEN 'keep' ELSE 'update' END AS action FROM o FULL JOIN n USING (id)""")
 def linear_merge_plan(s, d):
-    """SNK-02: what a full synchronisation inserts, deletes or compares; keep and update are told apart in merge_actions."""
-    plan = _merge(s, d)
-    return plan.select("id", F.when(F.col("action").isin("keep", "update"), "both").otherwise(F.col("action")).alias("action"))
+    """SNK-02: what a full synchronisation does with every id."""
+    return _merge(s, d).select("id", "action")
 
 
 def _merge(s, d) -> DataFrame:
