@@ -50,6 +50,7 @@ BANNER = re.compile(r"\A\s*/\*![^\n]{0,200}\bv?\d+\.\d+|//[#@] ?sourceMappingURL
 FOREIGN_PLACE = r"(?:^|/)(?:vendor|third_party|third-party|thirdparty|node_modules|external|deps|bower_components|site-packages|Godeps)/"
 MADE_PLACE = r"(?:^|/)(?:dist|gen|generated)/|(?:\.min|[._]pb|_pb2|_pb2_grpc|\.gen|\.generated|_generated|\.bundle)\.(?:py|ts|js|go|rs)$"
 
+WORDS = re.compile(r"\d+|[^\W\d]\w*")
 COMMENT_LINE = re.compile(r"\s*(?://|#(?!!?\[)|/?\*|\"\"\"|'''|<!--|--)")
 PIECE = re.compile(
     r"(?P<com>/\*.*?(?:\*/|\Z)|//[^\n]*|\"\"\".*?(?:\"\"\"|\Z)|'''.*?(?:'''|\Z))|(?P<hash>\#[^\n]*)|(?P<str>\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'|`[^`]*`)"
@@ -86,7 +87,8 @@ def shingle_hashes(tokens: list[str]) -> np.ndarray:
     """Distinct 64-bit hashes of SHINGLE tokens in succession; shorter texts are one shingle."""
     if not tokens:
         return np.zeros(0, np.int64)
-    h = np.array([zlib.crc32(t.encode("utf-8", "surrogatepass")) for t in tokens], np.uint64)
+    known = {t: zlib.crc32(t.encode("utf-8", "surrogatepass")) for t in set(tokens)}
+    h = np.array([known[t] for t in tokens], np.uint64)
     n = max(1, len(h) - SHINGLE + 1)
     out = np.zeros(n, np.uint64)
     for k in range(min(SHINGLE, len(h))):
@@ -97,39 +99,44 @@ def shingle_hashes(tokens: list[str]) -> np.ndarray:
 
 def parts(text: str | None, language: str | None) -> tuple:
     body, tool, foreign = without_notices(text or "")
-    tokens, ids = Counter(), []
-    literal = code = comment = data = 0
+    ids: list[int] = []
+    named: list[str] = []
     words: list[str] = []
+    literal = code = comment = data = 0
     for m in PIECE.finditer(body):
         kind, w = m.lastgroup, m.group()
         if kind == "hash":
-            if language == "python":
-                kind = "com"
-            else:
+            if language != "python":
                 words.append("#")
                 continue
+            kind = "com"
         if kind == "com":
             comment += len(w)
             continue
-        code += len(w)
+        size = len(w)
+        code += size
         if kind == "id":
-            ids.append(len(w))
-        elif kind in ("str", "num"):
-            literal += len(w)
-            data += len(w)
-        elif w in ",[]{}()-;:":
-            data += 1
-        tokens[w if kind in ("id", "op") else kind] += 1
+            ids.append(size)
+            named.append(w)
+        elif kind == "op":
+            named.append(w)
+            data += w in ",[]{}()-;:"
+        else:
+            literal += size
+            named.append(kind)
         words.append(w)
+    tokens, data = Counter(named), data + literal
     lines = body.split("\n")
-    shapes = Counter(re.sub(r"\d+|[^\W\d]\w*", "w", x.strip()) for x in lines if x.strip())
+    shapes = Counter(y for x in WORDS.sub("w", body).split("\n") if (y := x.strip()))
+    chars = Counter(body)
+    spaces, digits = (sum(n for c, n in chars.items() if is_kind(c)) for is_kind in (str.isspace, str.isdigit))
     raw, n = body.encode("utf-8", "surrogatepass"), max(1, len(body))
     mean = sum(ids) / len(ids) if ids else 0.0
     features = [
-        len(zlib.compress(raw, 6)) / max(1, len(raw)), entropy(tokens), entropy(Counter(body)), mean, (sum((x - mean) ** 2 for x in ids) / len(ids)) ** 0.5 if ids else 0.0,
+        len(zlib.compress(raw, 6)) / max(1, len(raw)), entropy(tokens), entropy(chars), mean, (sum((x - mean) ** 2 for x in ids) / len(ids)) ** 0.5 if ids else 0.0,
         sum(x <= 3 for x in ids) / len(ids) if ids else 0.0, len(tokens) / max(1, sum(tokens.values())), comment / max(1, comment + code),
         sum(bool(COMMENT_LINE.match(x)) for x in lines) / len(lines), len(body) / len(lines), float(max(map(len, lines))),
-        sum(map(str.isspace, body)) / n, literal / max(1, code), sum(c for c in shapes.values() if c > 2) / max(1, sum(shapes.values())), sum(map(str.isdigit, body)) / n,
+        spaces / n, literal / max(1, code), sum(c for c in shapes.values() if c > 2) / max(1, sum(shapes.values())), digits / n,
         data / max(1, code), math.log1p(code),
     ]
     return not (text or "").strip(), tool, foreign, bool(BANNER.search(text or "")), features, shingle_hashes(words)
