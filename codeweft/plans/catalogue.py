@@ -402,12 +402,6 @@ def commit_stats(s, d):
 # ---------------------------------------------------------------- graph
 
 
-@query("WITH " + EDGES + " SELECT src, dst, round(weight, 6) AS weight FROM edges")
-def call_dependency_edges(s, d):
-    """AGG-09 over the calls whose file is known."""
-    return graph.dependency_edges(components(s, d)).select("src", "dst", F.round("weight", 6).alias("weight"))
-
-
 #: Files that change together, as weighted edges: the graph that the walking operators run on.
 CO = CHANGES + """, p AS (SELECT DISTINCT repo, hash, path FROM changes), x AS (SELECT path AS src, lead(path) OVER (PARTITION BY repo, hash ORDER BY path) AS dst FROM p),
     edges AS (SELECT src, dst, sqrt(count(*)) AS weight FROM x WHERE dst IS NOT NULL GROUP BY ALL), nodes AS (SELECT src AS node FROM edges UNION SELECT dst FROM edges)"""

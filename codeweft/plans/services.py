@@ -127,18 +127,28 @@ def model_mismatch(s, d):
 # ---------------------------------------------------------------- calls
 
 
-@query("WITH " + C + r""", k AS (SELECT ord, repo, file, path, imports, unnest(callees) AS e, generate_subscripts(callees, 1) - 1 AS pos FROM c), n AS (SELECT *, string_split(regexp_replace(e.name, '^new ', ''), '.')[-1] AS name FROM k WHERE e.name IS NOT NULL),
+CALLEES = "WITH " + C + r""", k AS (SELECT ord, repo, file, path, imports, unnest(callees) AS e, generate_subscripts(callees, 1) - 1 AS pos FROM c), n AS (SELECT *, string_split(regexp_replace(e.name, '^new ', ''), '.')[-1] AS name FROM k WHERE e.name IS NOT NULL),
     defs AS (SELECT DISTINCT repo, string_split(name, '.')[-1] AS name, path AS dst, file AS there FROM c WHERE name IS NOT NULL AND type <> 'documentation'),
     o AS (SELECT ord, pos, dst, CASE WHEN there = n.file THEN 0 WHEN coalesce(len(list_filter(imports, lambda i: ends_with('/' || regexp_replace(regexp_replace(there, '\.[^./]*$', ''), '/(index|__init__|mod)$', ''),
         '/' || regexp_replace(regexp_replace(i, '^(\.{1,2}/)+|^@[^/]*/|\.(js|ts|mjs|cjs)$', '', 'g'), '[.:]+', '/', 'g')))) > 0, false) THEN 1 ELSE 2 END AS w FROM n JOIN defs USING (repo, name) WHERE e.file IS NULL),
-    b AS (SELECT ord, pos, min({'w': w, 'dst': dst}) AS m, count(*) AS c FROM o GROUP BY ALL)
-    SELECT n.ord, CAST(n.pos AS BIGINT) AS pos, path AS src, e.name AS callee, CASE WHEN e.file = n.file THEN repo || '/' || e.file WHEN e.file IS NOT NULL THEN repo || '/' || regexp_replace(regexp_replace(regexp_replace(e.file, '(^|/)dist/', '\1src/'), '\.d\.ts$', '.ts'), '\.js$', '.ts') WHEN b.m.w < 2 OR b.c = 1 THEN b.m.dst END AS dst,
-        CASE WHEN e.file IS NOT NULL THEN 'stated' WHEN b.m.w = 0 THEN 'own file' WHEN b.m.w = 1 THEN 'import' WHEN b.c = 1 THEN 'only file' END AS way FROM n LEFT JOIN b ON b.ord = n.ord AND b.pos = n.pos AND e.file IS NULL""")
+    b AS (SELECT ord, pos, min({'w': w, 'dst': dst}) AS m, count(*) AS c FROM o GROUP BY ALL),
+    resolved AS (SELECT n.ord, CAST(n.pos AS BIGINT) AS pos, path AS src, e.name AS callee, CASE WHEN e.file = n.file THEN repo || '/' || e.file WHEN e.file IS NOT NULL THEN repo || '/' || regexp_replace(regexp_replace(regexp_replace(e.file, '(^|/)dist/', '\1src/'), '\.d\.ts$', '.ts'), '\.js$', '.ts') WHEN b.m.w < 2 OR b.c = 1 THEN b.m.dst END AS dst,
+        CASE WHEN e.file IS NOT NULL THEN 'stated' WHEN b.m.w = 0 THEN 'own file' WHEN b.m.w = 1 THEN 'import' WHEN b.c = 1 THEN 'only file' END AS way FROM n LEFT JOIN b ON b.ord = n.ord AND b.pos = n.pos AND e.file IS NULL)"""
+
+
+@query(CALLEES + " SELECT * FROM resolved")
 def resolved_callees(s, d):
     """SRC-10, JN-01: the file of every callee as far as it can be told."""
     return refs.resolved_callees(components(s, d)).select("ord", F.col("pos").cast("bigint").alias("pos"), "src", "callee", "dst", "way")
 
 
+@query(CALLEES + " SELECT src, dst, round(sqrt(count(*)), 6) AS weight FROM resolved WHERE src <> dst GROUP BY src, dst")
+def call_dependency_edges(s, d):
+    """AGG-09: call edges between files, callees told by name and import."""
+    e = graph.weighted(refs.resolved_callees(components(s, d)).filter("dst IS NOT NULL").select("src", "dst"))
+    return e.select("src", "dst", F.round("weight", 6).alias("weight"))
+
+
 @query(None)
 def call_graph(s, d):
     """AGG-09, GRF-01: weighted call edges between files, callees told by name and import, with the rank of both ends."""
