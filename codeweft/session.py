@@ -53,15 +53,29 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     path = os.path.join(folder, name)
     df.write.parquet(path)
     _STAGED.append(folder)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._staged_in = folder
+    return out
+
+
+def forget(df: DataFrame) -> None:
+    """Delete the staged table that a later round of a loop has replaced; nothing that is still read may come from it."""
+    folder = getattr(df, "_staged_in", None)
+    if folder in _STAGED:
+        _STAGED.remove(folder)
+        _delete(df.sparkSession, folder)
+
+
+def _delete(spark: SparkSession, folder: str) -> bool:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def clear(spark: SparkSession) -> int:
     """Delete the intermediate tables of the results that were written; results still to be read need them. Gives their number."""
-    hadoop, gone = spark._jvm.org.apache.hadoop.fs.Path, 0
+    gone = 0
     while _STAGED:
-        path = hadoop(_STAGED.pop())
-        gone += path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        gone += _delete(spark, _STAGED.pop())
     return gone
 
 
