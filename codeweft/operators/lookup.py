@@ -66,6 +66,26 @@ def coverage(indexed: DataFrame, files: DataFrame) -> DataFrame:
     return g.withColumn("percent", F.when(F.col("files") > 0, F.round(F.col("indexed") * 100 / F.col("files"), 6)).otherwise(0.0))
 
 
+IMPORTS = 5
+
+
+def formatted(c: DataFrame, key: str) -> DataFrame:
+    """Texts of each hit in the three levels of detail (SCH-14): a header, with the signature, or with the snippet and the first imports.
+
+    Absent parts are left out; a snippet is cut to ten lines with a note of the rest.
+    """
+    place = F.concat(F.lit("("), F.col("path"), F.coalesce(F.concat(F.lit(":"), F.col("start_line").cast("string")), F.lit("")), F.lit(")"))
+    header = F.concat_ws(" ", F.concat("type", F.lit(":")), "name", place)
+    indented = F.concat(F.lit("   "), F.replace(T.truncated_snippet(F.col("snippet"), 10), F.lit("\n"), F.lit("\n   ")))
+    imports = F.when(F.size("imports") > 0, F.concat(F.lit("   Imports: "), F.concat_ws(", ", F.slice("imports", 1, IMPORTS)), F.when(F.size("imports") > IMPORTS, " ...").otherwise("")))
+    return c.select(key, header.alias("minimal"), F.concat_ws("\n", header, F.concat(F.lit("   "), "signature")).alias("signature"), F.concat_ws("\n", header, indented, imports).alias("full"))
+
+
+def repositories(r: DataFrame) -> DataFrame:
+    """Remote as a plain name, branch, head and whether there are changes, of every repository (SRC-30)."""
+    return r.select("repo", T.normalize_remote(F.col("remote")).alias("remote"), "branch", "head", F.coalesce("dirty", F.lit(False)).alias("dirty"))
+
+
 def related_tests(files: DataFrame, limit: int = 5) -> DataFrame:
     """Test files that are named after a source file of their repository (SCH-07), nearest folders first.
 

@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from codeweft.functions import text as T
-from codeweft.operators import graph, lookup, patterns, refs, search, tree
+from codeweft.operators import graph, lookup, patterns, refs, search, stats, tree
 from codeweft.operators.stats import delivered_once
-from codeweft.plans.catalogue import C, CALLS, NOW, TREE, components, query, token_bucket
+from codeweft.plans.catalogue import C, CALLS, LANG, NOW, TREE, components, query, token_bucket
 from codeweft.session import cut, table
 from codeweft.sources import gitlog
 
@@ -207,9 +207,39 @@ def log_options(s, d):
     return delivered_once(c.select("repo", "hash", "ingested_at", "committed_at")).select("repo", "hash")
 
 
+@query(FIRST + """, l AS (SELECT repo || '/' || hash AS file, hash, author.name AS author, committed_at, string_split(subject || CASE WHEN coalesce(body, '') = '' THEN '' ELSE chr(10) || body END, chr(10)) AS ls FROM d WHERE length(hash) = 40)
+    SELECT file, CAST(unnest(range(1, len(ls) + 1)) AS BIGINT) AS line, hash, coalesce(author, '') AS author, CAST(coalesce(epoch_us(committed_at) // 1000000, 0) AS BIGINT) AS at, unnest(ls) AS content FROM l""")
+def blame_lines(s, d):
+    """FN-17, SRC-30: messages of all commits printed as blame and read back."""
+    b = gitlog.parse_blame(gitlog.blamed(table(s, d, "commits").filter("length(hash) = 40")))
+    return b.select("file", "line", "hash", F.coalesce("author", F.lit("")).alias("author"), F.unix_seconds("time").alias("at"), "content")
+
+
+@query(r"""SELECT repo, CASE WHEN starts_with(remote, 'git@') THEN lower(regexp_replace(regexp_replace(regexp_replace(remote, '^git@', ''), '\.git$', ''), '^[^:]*:', ''))
+    ELSE lower(regexp_replace(regexp_replace(regexp_replace(regexp_replace(remote, '^(?:https?://|ssh://git@)', ''), '/$', ''), '\.git$', ''), '^[^/]*/(.)', '\1')) END AS remote, branch, head, coalesce(dirty, false) AS dirty FROM repositories""")
+def repository_info(s, d):
+    """SRC-30."""
+    return lookup.repositories(table(s, d, "repositories"))
+
+
 # ---------------------------------------------------------------- formats and estimates
 
 
+@query("WITH " + C + """, l AS (SELECT *, concat_ws(' ', type || ':', name, '(' || path || coalesce(':' || start_line, '') || ')') AS h, string_split(snippet, chr(10)) AS ls FROM c)
+    SELECT ord, h AS minimal, concat_ws(chr(10), h, '   ' || signature) AS signature,
+        concat_ws(chr(10), h, '   ' || replace(CASE WHEN len(ls) <= 10 THEN snippet ELSE array_to_string(ls[1:10], chr(10)) || chr(10) || '// ... ' || (len(ls) - 10) || ' more lines' END, chr(10), chr(10) || '   '),
+            CASE WHEN len(imports) > 0 THEN '   Imports: ' || array_to_string(imports[1:5], ', ') || CASE WHEN len(imports) > 5 THEN ' ...' ELSE '' END END) AS "full" FROM l""")
+def formatted_results(s, d):
+    """SCH-14: every component in three levels of detail."""
+    return lookup.formatted(components(s, d), "ord")
+
+
+@query("WITH " + LANG + """ SELECT language, '{"components":' || components || ',"files":' || files || ',"language":"' || language || '","lines":' || lines || '}' AS json FROM l""")
+def stats_json(s, d):
+    """SNK-07."""
+    return stats.to_json_rows(stats.by_language(components(s, d)), "language")
+
+
 @query("""SELECT repo, CAST(greatest(ceil(length(j) / 4.5), ceil(len(string_split(j, ' ')) * 1.25)) AS BIGINT) AS tokens FROM (SELECT repo, '{"repo":"' || repo || '","branch":"' || coalesce(branch, '') || '","dirty":' || CASE WHEN coalesce(dirty, false) THEN 'true' ELSE 'false' END || '}' AS j FROM repositories)""")
 def json_tokens(s, d):
     """FN-03: tokens of every repository as a JSON object."""

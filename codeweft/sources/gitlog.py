@@ -89,6 +89,16 @@ def selected(commits: DataFrame, since=None, until=None, author: str | None = No
     return c if merges else c.filter(~F.coalesce(F.col("subject").startswith("Merge "), F.lit(False)))
 
 
+def blamed(commits: DataFrame) -> DataFrame:
+    """file, n and text of porcelain blame lines: the subject and the lines of the body of each commit as its own lines of a file."""
+    c = delivered_once(commits.select("repo", "hash", "author", "subject", "body", "committed_at", "ingested_at"))
+    lines = F.split(F.concat_ws("\n", "subject", F.nullif("body", F.lit(""))), "\n")
+    mark = lambda x, i: F.array(F.concat("hash", F.lit(" "), (i + 1).cast("string"), F.lit(" "), (i + 1).cast("string")), F.concat(F.lit("\t"), x))
+    head = F.array(F.concat(F.lit("author "), F.coalesce("author.name", F.lit(""))), F.concat(F.lit("author-time "), F.coalesce(F.unix_seconds(F.col("committed_at").cast("timestamp")), F.lit(0)).cast("string")))
+    text = F.flatten(F.transform(lines, lambda x, i: F.concat(F.slice(mark(x, i), 1, 1), head, F.slice(mark(x, i), 2, 1))))
+    return c.select(F.concat_ws("/", "repo", "hash").alias("file"), F.posexplode(text).alias("n", "text"))
+
+
 def parse_blame(blame: DataFrame) -> DataFrame:
     """file, line, hash, author, time and content of porcelain blame lines (FN-17). blame: file, n, text."""
     w = Window.partitionBy("file").orderBy("n")
