@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from codeweft.operators.graph import connected_components
-from codeweft.session import cut, spread, unskewed
+from codeweft.session import cut, forget, spread, staged, unskewed
 
 SPAN, PARAGRAPH, SHINGLE = 200, 100, 8
 #: Least likeness of paragraphs that the bands are tuned for, rows of a band, and the recall wanted there.
@@ -173,31 +173,43 @@ def classes(documents: DataFrame) -> DataFrame:
 
 
 def spans(documents: DataFrame, members: DataFrame) -> DataFrame:
-    """id, start, size, other and other_start of the spans that the text of a class shares with that of another class.
+    """id, start, size and other of the spans that the text of a class shares with that of another class.
 
     Of the classes that hold a stretch each is joined with the least one, and the least with the greatest.
     """
     reps = members.filter(F.col("doc_id") == F.col("id")).select("id")
     texts = spread(documents.select(F.col("doc_id").alias("id"), "text").filter(F.length("text") >= SPAN), "id").join(reps, "id", "left_semi")
-    sketch = cut(texts.mapInArrow(_sketch(bands_for()), "id bigint, band bigint, whole bigint, first int, last int").withColumn("band", F.xxhash64("band", "whole")))
+    sketch = texts.mapInArrow(_sketch(bands_for()), "id bigint, band bigint, whole bigint, first int, last int")
+    sketch = staged(sketch.select("id", F.xxhash64("band", "whole").alias("band"), "first", "last"), "sketch")
     met = cut(sketch.groupBy("band").agg(F.min("id").alias("a"), F.max("id").alias("b"), F.count("*").alias("rows")).filter("a < b").select("band", "rows"))
     places = unskewed(sketch, met, "band", "rows").groupBy("id").agg(F.collect_set(F.struct("first", "last")).alias("places"))
-    rows = cut(texts.join(places, "id").mapInArrow(_stretches, "id bigint, start int, hash bigint"))
-    place = F.struct("id", "start")
-    twice = cut(rows.groupBy("hash").agg(F.min(place).alias("low"), F.max(place).alias("high"), F.count("*").alias("rows")).filter("low.id < high.id"))
-    other = F.when(F.col("id") == F.col("low.id"), F.col("high")).otherwise(F.col("low"))
-    s = unskewed(rows, twice, "hash", "rows").select("id", "start", other.alias("o")).select("id", "start", F.col("o.id").alias("other"), (F.col("o.start") - F.col("start")).alias("shift"))
+    rows = staged(texts.join(places, "id").mapInArrow(_stretches, "id bigint, start int, hash bigint"), "stretches")
+    forget(sketch)
+    twice = staged(rows.groupBy("hash").agg(F.min("id").alias("low"), F.max("id").alias("high"), F.count("*").alias("rows")).filter("low < high"), "twice")
+    other = F.when(F.col("id") == F.col("low"), F.col("high")).otherwise(F.col("low"))
+    s = unskewed(rows, twice, "hash", "rows").select("id", "start", other.alias("other"))
     w = Window.partitionBy("id").orderBy("start")
     s = s.withColumn("again", F.lag("start").over(w) == F.col("start")).filter("again IS NOT TRUE")  # repeated rows
-    goes_on = (F.lag("other").over(w) == F.col("other")) & (F.lag("shift").over(w) == F.col("shift")) & (F.lag("start").over(w) == F.col("start") - 1)
-    s = s.withColumn("n", F.sum(F.when(goes_on, 0).otherwise(1)).over(w)).groupBy("id", "n", "other", "shift").agg(F.min("start").alias("start"), F.count("*").alias("k"))
-    s = cut(s.select("id", "start", (F.col("k") + SPAN - 1).cast("int").alias("size"), "other", (F.col("start") + F.col("shift")).alias("other_start")))
-    # the characters of both ends, compared by what the other end is
-    end = ["other", "other_start", "size"]
-    ends = s.select("id", "start", *end).unionByName(s.select(F.col("other").alias("id"), F.col("other_start").alias("start"), *end).distinct())
-    said = ends.join(texts, "id").select(*end, F.substring("text", F.col("start") + 1, F.col("size")).alias("said"))
-    unlike = cut(said.groupBy(*end).agg(F.min("said").alias("a"), F.max("said").alias("b")).filter("a <> b").select(*end))
-    return s if unlike.isEmpty() else s.join(unlike, end, "left_anti")
+    goes_on = (F.lag("other").over(w) == F.col("other")) & (F.lag("start").over(w) == F.col("start") - 1)
+    s = s.withColumn("n", F.sum(F.when(goes_on, 0).otherwise(1)).over(w)).groupBy("id", "n", "other").agg(F.min("start").alias("start"), F.count("*").alias("k"))
+    s = cut(s.select("id", "start", (F.col("k") + SPAN - 1).cast("int").alias("size"), "other"))
+    forget(rows)
+    forget(twice)
+    unlike = unlike_spans(s, texts)
+    if unlike.isEmpty():
+        return s
+    # stretches that follow one another here need not there, as in periodic texts: those are compared one by one
+    one = unlike.select("id", F.explode(F.sequence("start", F.col("start") + F.col("size") - SPAN)).alias("start"), F.lit(SPAN).alias("size"), "other")
+    whole = s.join(unlike, ["id", "start", "size", "other"], "left_anti")
+    return whole.unionByName(one.join(unlike_spans(one, texts), ["id", "start", "size", "other"], "left_anti"))
+
+
+def unlike_spans(s: DataFrame, texts: DataFrame) -> DataFrame:
+    """The spans whose characters do not stand in the other text, compared once for all texts that share them."""
+    said = s.join(texts, "id").select("id", "start", "size", "other", F.substring("text", F.col("start") + 1, F.col("size")).alias("said"))
+    there = texts.select(F.col("id").alias("other"), F.col("text").alias("there"))
+    wrong = said.select("other", "said").distinct().join(there, "other").filter(~F.contains("there", "said")).select("other", "said")
+    return cut(said.join(wrong, ["other", "said"], "left_semi").select("id", "start", "size", "other"))
 
 
 def coverage(documents: DataFrame) -> DataFrame:
