@@ -13,7 +13,7 @@ from collections.abc import Iterator
 
 import pandas as pd
 import regex
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -27,10 +27,14 @@ NONE = 1 << 60
 MEMO = 200_000
 
 
+def ranks_of(data: bytes) -> dict[bytes, int]:
+    """Ranks of a vocabulary with one base64 token and its rank a line."""
+    return {base64.b64decode(a): int(b) for a, b in (line.split() for line in data.splitlines() if line.strip())}
+
+
 def load_ranks(path: str) -> dict[bytes, int]:
-    """Ranks of a vocabulary file with one base64 token and its rank a line."""
     with open(path, "rb") as f:
-        return {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
+        return ranks_of(f.read())
 
 
 def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
@@ -80,11 +84,16 @@ def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
 
 
 def encode(text: Column, vocabulary: str) -> Column:
-    """array<int> of a text column; a null and an empty text both give the empty list."""
+    """array<int> of a text column; a null and an empty text both give the empty list.
+
+    The vocabulary file is read where the query is built and shipped to the executors, which need no copy of it.
+    """
+    with open(vocabulary, "rb") as f:
+        shipped = SparkSession.active().sparkContext.broadcast(f.read())  # one vocabulary, about a megabyte
 
     @F.pandas_udf(T.ArrayType(T.IntegerType()))
     def ids(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        ranks, cut, memo = load_ranks(vocabulary), regex.compile(PATTERN), {}
+        ranks, cut, memo = ranks_of(shipped.value), regex.compile(PATTERN), {}
         for texts in batches:
             out = []
             for text in texts:
