@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from itertools import count
 
-from pyspark.sql import DataFrame, Observation
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from codeweft.session import cut, forget, staged
@@ -16,7 +16,7 @@ def connected_components(edges: DataFrame, nodes: DataFrame | None = None) -> Da
     Least labels spread along the edges, the label of a node's old label is lowered with it (so whole regions merge in
     a round, not the nodes at their border only), and labels jump to the label of their label. It runs until nothing
     changes: 8 or 9 rounds for shuffled chains of 1000 nodes. Each round is one job of joins and partially aggregated
-    minima, which writes its labels and counts the changed ones on the way. Null ends and loops are dropped, parallel edges count once, nodes (node) adds isolated ones.
+    minima, which writes its labels, and a look for changed ones. Null ends and loops are dropped, parallel edges count once, nodes (node) adds isolated ones.
     """
     e = edges.select("src", "dst").filter("src IS NOT NULL AND dst IS NOT NULL AND src <> dst").distinct()
     both = staged(e.unionByName(e.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct(), "both")
@@ -29,10 +29,8 @@ def connected_components(edges: DataFrame, nodes: DataFrame | None = None) -> Da
         hooked = spread.filter("n < c").groupBy(F.col("c").alias("node")).agg(F.min("n").alias("c")).withColumn("was", F.lit(None).cast(labels.schema["c"].dataType))
         spread = own.unionByName(hooked).groupBy("node").agg(F.max("was").alias("was"), F.min("c").alias("c"))
         target = spread.select(F.col("node").alias("c"), F.col("c").alias("further"))
-        changes = Observation()
-        new = spread.join(target, "c").select("node", "was", F.least("c", "further").alias("c"))
-        new = staged(new.observe(changes, F.count_if(F.col("c") != F.col("was")).alias("n")), "labels")
-        done = not changes.get["n"]
+        new = staged(spread.join(target, "c").select("node", "was", F.least("c", "further").alias("c")), "labels")
+        done = new.filter("c <> was").isEmpty()
         forget(labels)
         labels = new
     out = labels.select("node", F.col("c").alias("component"))
@@ -71,35 +69,31 @@ def pagerank(edges: DataFrame, nodes: DataFrame, damping: float = 0.85, rounds:
     """node and rank: weighted PageRank, dangling mass spread evenly (GRF-01).
 
     A round is one job, a join of ranks and edge shares and one partial sum by target, which writes the new ranks; two
-    sums over them, the dangling mass and the change, are observed on the way and are all that the driver sees. Tolerance 0 runs all rounds. A node's base row is
+    sums over them, the dangling mass and the change, are all that the driver sees. Tolerance 0 runs all rounds. A node's base row is
     part of the sum, so no second join is needed. An empty graph has no rows.
     """
     out = edges.groupBy("src").agg(F.sum("weight").alias("total"))
     nodes = nodes.select("node").distinct()
     share = edges.join(out, "src").select(F.col("src").alias("node"), "dst", (F.col("weight") / F.col("total")).alias("share"))
     linked = share.select("node").distinct().withColumn("linked", F.lit(True))
-    size = Observation()
-    nodes = nodes.join(linked, "node", "left").select("node", F.col("linked").isNull().alias("dangling"))
-    nodes = staged(nodes.observe(size, F.count("*").alias("n"), F.count_if("dangling").alias("dangling")), "nodes")
-    n = size.get["n"]
+    nodes = staged(nodes.join(linked, "node", "left").select("node", F.col("linked").isNull().alias("dangling")), "nodes")
+    n, dangling = nodes.agg(F.count("*"), F.count_if("dangling")).first()
     if not n:
         return nodes.select("node", F.lit(0.0).alias("rank"))
     # every node sends its flag and nothing to itself, so that it stays in the sum
     share = staged(share.select("node", "dst", "share", F.lit(None).cast("boolean").alias("dangling")).unionByName(nodes.select("node", F.col("node").alias("dst"), F.lit(0.0).alias("share"), "dangling")), "share")
     ranks = nodes.select("node", F.lit(1.0 / n).alias("rank"), "dangling")
-    lost = size.get["dangling"] / n
+    lost = dangling / n
     for _ in range(rounds):
         sent = ranks.select("node", "rank").join(share, "node")
         kept = F.max(F.when(F.col("dangling").isNotNull(), F.col("rank")))
         new = sent.groupBy(F.col("dst").alias("node")).agg(F.sum(F.col("rank") * F.col("share")).alias("got"), kept.alias("was"), F.max("dangling").alias("dangling"))
         new = new.select("node", ((1 - damping) / n + damping * (F.col("got") + lost / n)).alias("rank"), "dangling", "was")
-        sums = Observation()
+        before, ranks = ranks, staged(new, "ranks")
         mass, change = F.coalesce(F.sum(F.when(F.col("dangling"), F.col("rank"))), F.lit(0.0)), F.sum(F.abs(F.col("rank") - F.col("was")))
-        new = staged(new.observe(sums, mass.alias("lost"), change.alias("change")), "ranks")
-        lost = sums.get["lost"]
-        forget(ranks)
-        ranks = new
-        if tolerance and sums.get["change"] < tolerance:
+        lost, moved = ranks.agg(mass, change).first()
+        forget(before)
+        if tolerance and moved < tolerance:
             break
     return ranks.select("node", "rank")
 
