@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from codeweft.session import cut
+from codeweft.session import cut, sweep
 
 Q, ROWS, LIKE, RECALL = 3, 2, 0.45, 0.97
 #: Least Monge-Elkan similarity of forms, and of one pair of tokens.
@@ -34,6 +34,8 @@ BITS = {x: n for n, x in enumerate([(c, k) for k in (1, 2) for c in "abcdefghijk
 PARTNERS = 6
 #: Words of a band's bucket that a task compares with all of it; fuller buckets are split.
 BUCKET = 2_000
+#: Forms of a family up to which each is compared with all of them (or that share of all forms: FAMILIES families at most are fuller, and they are broadcast).
+FAMILY, FAMILIES = 100, 10_000
 
 # Names of nobody, local parts of shared addresses, words of organisations, letters that do not decompose.
 NOBODY = frozenset("your name|you|name|user|admin|administrator|unknown|ubuntu|root|ci|dev|developer|none|null|n/a|na|nobody|anonymous|test|guest|localhost|system|bot|default|git|builder|build|deploy|jenkins|runner|worker|vagrant|debian|pi|me|no name|noname|first last|john doe|todo|example|author|committer|github|gitlab|automation|noreply|no-reply".split("|"))
@@ -295,19 +297,43 @@ def like_words(words: DataFrame) -> DataFrame:
     return cut(near.unionByName(back).unionByName(words.select("word", F.col("word").alias("other"), F.lit(1.0).alias("s"))))
 
 
+def candidate_forms(asked: DataFrame, view: DataFrame, near: DataFrame, to_family: str, to_name: str) -> DataFrame:
+    """a, b: forms of asked and view of which to_family is like the family and to_name like the given name, as far as bounds tell; form_likeness decides.
+
+    A form meets the forms of a like family, and letters drop those of other given names before anything is shuffled. A
+    family of more than FAMILY forms would meet itself whole, so there the like given names are part of the key. view should be checkpointed.
+    """
+    straight, least = to_family == "family", 2 * SIMILAR - 0.04
+    step = lambda c, to, score: near.select(F.col("word").alias(c), F.col("other").alias(to), F.col("s").alias(score))
+    target = view.select(F.col("node").alias("b"), F.col("family").alias("f"), F.col("name").alias("g"), F.col("name_n").alias("g_n"), F.col("name_bits").alias("g_bits"), F.col("known").alias("known_b"))
+    full = F.broadcast(cut(target.groupBy("f").agg(F.count("*").alias("n")).filter(F.col("n") > max(FAMILY, view.count() // FAMILIES)).select("f")))
+    likely = step(to_family, "f", "sf")
+    if straight:
+        likely = likely.filter("f >= family")
+    # both known: one edit or a high likeness of the given names
+    close = lambda like: ~(F.col("known") & F.col("known_b")) | (like >= GIVEN - 1e-9) | (F.levenshtein(to_name, "g") <= 1) if straight else F.lit(True)
+    bound = likeness_bound(to_name, f"{to_name}_n", f"{to_name}_bits", "g", "g_n", "g_bits")
+    mine = asked.select(F.col("node").alias("a"), "known", "family", "name", f"{to_name}_n", f"{to_name}_bits")
+    few = mine.join(likely.join(full, "f", "left_anti"), to_family).join(target.join(full, "f", "left_anti"), "f")
+    few = few.filter((bound >= F.greatest(F.lit(TOKEN), least - F.col("sf")) - 1e-9) & close(bound))
+    many = mine.join(likely.join(full, "f", "left_semi"), to_family).join(step(to_name, "g", "sg"), to_name).filter(F.col("sf") + F.col("sg") >= least)
+    many = many.join(target.join(full, "f", "left_semi").select("b", "f", "g", "known_b"), ["f", "g"]).filter(close(F.col("sg")))
+    return few.select("a", "b").unionByName(many.select("a", "b")).filter("a <> b")
+
+
 def similar_forms(forms: DataFrame) -> DataFrame:
     """a, b: forms (in both directions) whose names are spellings of one another. forms: node, given, names, family, known, confirmed."""
-    view = cut(forms.select("node", "family", "known", F.explode("names").alias("name")))
+    letters = F.pandas_udf(lambda w: pd.Series([letter_bits(x) for x in w], dtype="int64"), "bigint")
+    view = forms.select("node", "family", "known", F.explode("names").alias("name"))
+    view = cut(view.select("*", *[x for c in ("name", "family") for x in (F.length(c).alias(f"{c}_n"), letters(c).alias(f"{c}_bits"))]))
     near = like_words(view.select(F.col("name").alias("word")).union(view.select("family")).distinct())
-    step = lambda c, to, score: near.select(F.col("word").alias(c), F.col("other").alias(to), F.col("s").alias(score))
-    # the most that the similarity of the two words of each side may be, paired straight or crossed
-    straight = view.join(step("family", "f", "sf"), "family").join(step("name", "g", "sg"), "name").filter(F.col("sf") + F.col("sg") >= 2 * SIMILAR - 0.04)
-    crossed = view.filter("NOT known").join(step("family", "g", "sf"), "family").join(step("name", "f", "sg"), "name").filter(F.col("sf") + F.col("sg") >= 2 * SIMILAR - 0.04)
-    target = view.select(F.col("node").alias("b"), F.col("family").alias("f"), F.col("name").alias("g"), F.col("known").alias("known_b"))
-    met = lambda d: d.select(F.col("node").alias("a"), "known", "name", "f", "g", "sg").join(target, ["f", "g"]).filter("a <> b")
-    close = (F.col("sg") >= GIVEN) | (F.levenshtein("name", "g") <= 1)
-    pairs = met(straight).filter(~(F.col("known") & F.col("known_b")) | close).select("a", "b").unionByName(met(crossed).select("a", "b"))
-    pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    sweep(forms.sparkSession)
+    # both ways straight pairs are the same pairs; crossed ones are asked of the side whose given name is not known
+    straight = candidate_forms(view, view, near, "family", "name").select("a", "b")
+    crossed = candidate_forms(view.filter("NOT known"), view, near, "name", "family").select("a", "b")
+    pairs = cut(straight.unionByName(crossed).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    del near, straight, crossed
+    sweep(forms.sparkSession)
     # short forms of a given name begin with its first two letters
     start = view.withColumn("start", F.substring("name", 1, 2))
     short = start.select(F.col("node").alias("a"), "family", "start", F.col("name").alias("x")).join(start.select(F.col("node").alias("b"), "family", "start", F.col("name").alias("y")), ["family", "start"])
@@ -389,6 +415,8 @@ def entities(persons: DataFrame, nicknames: DataFrame) -> DataFrame:
     edges = similar_forms(forms).unionByName(same).unionByName(same.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
     weights = forms.select("node", F.struct(F.col("confirmed"), F.col("known"), F.col("weight")).alias("weight"))
     stars = cut(star_clusters(weights, edges))
+    del same, told, edges
+    sweep(persons.sparkSession)
     whole_entity = cut(whole.join(stars, "node").select("person_id", "kind", "addr", "handle", "local", "domain", F.col("center").alias("entity")))
 
     # what a star is known by

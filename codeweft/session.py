@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import os
 import tempfile
 import uuid
@@ -89,6 +90,12 @@ def _clear_at_exit() -> None:
             pass
 
 
+def sweep(spark: SparkSession) -> None:
+    """Have the driver collect its garbage between steps: shuffle files stay on disk as long as the plans of steps that are over do."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def spread(df: DataFrame, *keys: str) -> DataFrame:
     """Repartition rows of heavy per-row work when the scan offers fewer tasks than cores.
 

@@ -121,3 +121,28 @@ def test_like_words_of_full_buckets(spark, monkeypatch):
     near = {(a, b) for a in words for b in words if ps.jaro_winkler(a, b) >= ps.TOKEN}
     true = {p for p in near if like(*p) >= ps.LIKE}
     assert whole <= near and len(whole & true) >= ps.RECALL * len(true)
+
+
+def shuffled(spark) -> int:
+    """Records that the stages up to now wrote to shuffles."""
+    jvm, none = spark.sparkContext._gateway.jvm, spark.sparkContext._gateway.new_array(spark.sparkContext._gateway.jvm.double, 0)
+    stages = spark.sparkContext._jsc.sc().statusStore().stageList(jvm.java.util.ArrayList(), False, False, none, jvm.java.util.ArrayList())
+    return sum(stages.apply(i).shuffleWriteRecords() for i in range(stages.size()))
+
+
+def test_candidates_are_not_multiplied(spark, monkeypatch):
+    """Like families times like given names are not shuffled; full families give the same links as others, and links do not hang on the bands of given names."""
+    r = random.Random(9)
+    families = sorted({"zisobachi" + "".join(r.choice("abcdefghiklmnoprstuv") for _ in range(2)) for _ in range(60)})
+    given = sorted({"emanuelin" + "".join(r.choice("abcdefghiklmnoprstuv") for _ in range(2)) for _ in range(60)})
+    names = [(g, f) for k, f in enumerate(families) for g in given[k % len(given) :: 50]] + [("chlo", "venoko"), ("chole", "venoko")]
+    forms = spark.createDataFrame([(f"{g} {f}", [g], f, k % 3 == 0, False) for k, (g, f) in enumerate(names)], "node string, names array<string>, family string, known boolean, confirmed boolean").localCheckpoint()
+    get = lambda: {(x.a, x.b) for x in ps.similar_forms(forms).collect()}
+    before = shuffled(spark)
+    got = get()
+    assert shuffled(spark) - before < len(names) * len(families) * len(given) / 4
+    like = {(f"{a} {b}", f"{c} {d}") for i, (a, b) in enumerate(names) for j, (c, d) in enumerate(names) if i != j and ps.form_likeness([a], b, [c], d, i % 3 == 0 and j % 3 == 0) >= ps.SIMILAR}
+    assert {("chlo venoko", "chole venoko"), ("chole venoko", "chlo venoko")} <= got
+    assert like <= got and len(like) > 1000
+    monkeypatch.setattr(ps, "FAMILY", 1)
+    assert get() >= like - {("chlo venoko", "chole venoko"), ("chole venoko", "chlo venoko")}
