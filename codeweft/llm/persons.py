@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from codeweft.session import cut, sweep
+from codeweft.session import cut, forget, staged, sweep
 
 Q, ROWS, LIKE, RECALL = 3, 2, 0.45, 0.97
 #: Least Monge-Elkan similarity of forms, and of one pair of tokens.
@@ -282,9 +282,9 @@ def like_words(words: DataFrame) -> DataFrame:
         return pd.Series([a + b for a, b in zip(band_keys(w, bands, ROWS), slip_keys(w))], dtype=object)
 
     letters = F.pandas_udf(lambda w: pd.Series([letter_bits(x) for x in w], dtype="int64"), "bigint")("word")
-    keyed = cut(words.select("word", F.length("word").alias("n"), letters.alias("bits"), F.explode(F.pandas_udf(keys, "array<bigint>")("word")).alias("key")))
-    blocks = keyed.groupBy("key").agg(F.ceil(F.count("*") / BUCKET).cast("int").alias("blocks"), F.count("*").alias("c")).filter("c > 1").select("key", "blocks")
-    keyed = keyed.join(blocks, "key")
+    keys_of_words = staged(words.select("word", F.length("word").alias("n"), letters.alias("bits"), F.explode(F.pandas_udf(keys, "array<bigint>")("word")).alias("key")), "keys")
+    blocks = keys_of_words.groupBy("key").agg(F.ceil(F.count("*") / BUCKET).cast("int").alias("blocks"), F.count("*").alias("c")).filter("c > 1").select("key", "blocks")
+    keyed = keys_of_words.join(blocks, "key")
     left = keyed.withColumn("block", F.pmod(F.xxhash64("word"), F.col("blocks")).cast("int"))
     other = keyed.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("key", "block", *[F.col(c).alias(f"{c}_o") for c in ("n", "bits")], F.col("word").alias("other"))
     near = left.join(other, ["key", "block"]).filter((F.col("word") < F.col("other")) & (likeness_bound("word", "n", "bits", "other", "n_o", "bits_o") >= TOKEN - 1e-9)).select("word", "other").distinct()
@@ -294,7 +294,9 @@ def like_words(words: DataFrame) -> DataFrame:
 
     near = near.withColumn("s", F.pandas_udf(likeness, "double").asNondeterministic()("word", "other")).filter(F.col("s") >= TOKEN)
     back = near.select(F.col("other").alias("word"), F.col("word").alias("other"), "s")
-    return cut(near.unionByName(back).unionByName(words.select("word", F.col("word").alias("other"), F.lit(1.0).alias("s"))))
+    out = staged(near.unionByName(back).unionByName(words.select("word", F.col("word").alias("other"), F.lit(1.0).alias("s"))), "near")
+    forget(keys_of_words)
+    return out
 
 
 def candidate_forms(asked: DataFrame, view: DataFrame, near: DataFrame, to_family: str, to_name: str) -> DataFrame:
@@ -332,6 +334,7 @@ def similar_forms(forms: DataFrame) -> DataFrame:
     straight = candidate_forms(view, view, near, "family", "name").select("a", "b")
     crossed = candidate_forms(view.filter("NOT known"), view, near, "name", "family").select("a", "b")
     pairs = cut(straight.unionByName(crossed).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    forget(near)
     del near, straight, crossed
     sweep(forms.sparkSession)
     # short forms of a given name begin with its first two letters

@@ -91,9 +91,13 @@ def _clear_at_exit() -> None:
 
 
 def sweep(spark: SparkSession) -> None:
-    """Have the driver collect its garbage between steps: shuffle files stay on disk as long as the plans of steps that are over do."""
-    gc.collect()
-    spark._jvm.System.gc()
+    """Have the driver collect its garbage between steps: shuffle files stay on disk as long as the plans of steps that are over do.
+
+    Twice, as some of it is only held by what the first round collects.
+    """
+    for _ in range(2):
+        gc.collect()
+        spark._jvm.System.gc()
 
 
 def spread(df: DataFrame, *keys: str) -> DataFrame:
